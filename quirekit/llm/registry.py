@@ -1,9 +1,13 @@
 """Queries of the subpackage and their DuckDB statements."""
 
-from . import neardup
+from . import bpe, neardup, topk
 
 QUERIES = {
+    "op1_top_k": topk.op1_top_k,
     "op7_near_duplicates": neardup.op7_near_duplicates,
+    "op8_bpe": bpe.op8_bpe,
 }
 
-ORACLES = {}
+ORACLES = {
+    "op1_top_k": topk.ORACLE,
+}
