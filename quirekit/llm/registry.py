@@ -1,11 +1,12 @@
 """Queries of the subpackage and their DuckDB statements."""
 
-from . import bpe, neardup, topk
+from . import bpe, neardup, secrets, topk
 
 QUERIES = {
     "op1_top_k": topk.op1_top_k,
     "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_bpe": bpe.op8_bpe,
+    "op9_secrets": secrets.op9_secrets,
 }
 
 ORACLES = {
