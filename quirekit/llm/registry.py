@@ -1,12 +1,14 @@
 """Queries of the subpackage and their DuckDB statements."""
 
-from . import bpe, neardup, secrets, topk
+from . import bpe, neardup, quality, rules, secrets, topk
 
 QUERIES = {
     "op1_top_k": topk.op1_top_k,
+    "op2_quality": quality.op2_quality,
     "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_bpe": bpe.op8_bpe,
     "op9_secrets": secrets.op9_secrets,
+    "op10_quality_rules": rules.op10_quality_rules,
 }
 
 ORACLES = {
