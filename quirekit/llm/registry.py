@@ -1,10 +1,11 @@
 """Queries of the subpackage and their DuckDB statements."""
 
-from . import bpe, langid, neardup, quality, rules, secrets, topk
+from . import bpe, langid, neardup, quality, rules, secrets, topk, toxicity
 
 QUERIES = {
     "op1_top_k": topk.op1_top_k,
     "op2_quality": quality.op2_quality,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_language": langid.op4_language,
     "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_bpe": bpe.op8_bpe,
