@@ -1,6 +1,6 @@
 """Near-duplicate documents by a multi-index Hamming join of b-bit MinHash signatures.
 
-A signature has ``CHUNKS`` chunks of ``WIDTH`` symbols of 16 bits. Two
+A signature has ``CHUNKS`` chunks of ``WIDTH`` symbols of 12 bits, one long each. Two
 signatures that differ in at most ``CHUNKS * (ERRORS + 1) - 1`` symbols differ
 in at most ``ERRORS`` symbols of some chunk (pigeonhole), so keying every chunk
 once for each set of ``ERRORS`` symbols left out finds every such pair. Pairs
@@ -10,10 +10,12 @@ the exact check, which compares the full shingle sets.
 At the link threshold of 0.8 a chunk of 5 agrees but for one symbol with
 probability 0.74, so ten chunks miss a pair with probability 1.6e-6.
 
-Hot groups: equal shingle sets become one node before anything is keyed;
-buckets emit a star (each member with one pivot), never all pairs; only
-members that the stars left in different components are compared further, and
-the signature distance is part of that join's condition.
+Hot groups: equal shingle sets become one node before anything is keyed. Every
+node is then held against one pivot, the smallest node it shares a bucket with;
+nodes still apart from the other pivots of their buckets against those. Only
+members of a bucket that are left in different components are compared with
+each other; the signature distance is part of that join's condition, and a pair
+that shares many buckets comes out of the first of them alone.
 
 Defined cases: a null or empty text, or one of white space only, has an empty
 set, links with nothing and is its own component. Rows that repeat a doc_id
@@ -30,8 +32,11 @@ from . import common
 
 CHUNKS, WIDTH, ERRORS, FAR = 10, 5, 1, 25
 SYMBOLS = CHUNKS * WIDTH
-LONGS = -(-SYMBOLS // 4)
-SIG = [f"s{i}" for i in range(LONGS)]
+BITS = 12
+LANES = np.arange(WIDTH, dtype=np.uint64) * np.uint64(BITS)
+#: The lowest bit of every lane.
+ONES = sum(1 << BITS * i for i in range(WIDTH))
+SIG = [f"s{i}" for i in range(CHUNKS)]
 PERCENT = 80
 #: Ids beyond this many are matched with their texts by a shuffled join instead of a broadcast.
 BROADCAST_IDS = 500_000
@@ -73,11 +78,11 @@ def shingle_sets(texts, words):
 
 
 def signature(s):
-    """SYMBOLS 16-bit symbols of a set of hashes."""
+    """SYMBOLS symbols of BITS bits of a set of hashes."""
     low = np.full(SYMBOLS, np.uint64(0xFFFFFFFFFFFFFFFF))
     for i in range(0, len(s), 1024):
         low = np.minimum(low, (s[i : i + 1024, None] * MULT + ADD).min(axis=0))
-    return common.mix64(low) >> np.uint64(48)
+    return common.mix64(low) >> np.uint64(64 - BITS)
 
 
 def node_of(s):
@@ -94,33 +99,30 @@ def _signed(words):
     def run(batches):
         for t in common.chunks(batches):
             sets = shingle_sets(common.as_bytes(t.column("text").chunk(0)), words)
-            sig = np.zeros((len(sets), LONGS * 4), np.uint64)
+            sig = np.zeros((len(sets), CHUNKS, WIDTH), np.uint64)
             for i, s in enumerate(sets):
                 if len(s):
-                    sig[i, :SYMBOLS] = signature(s)
-            packed = sig[:, 0::4] | sig[:, 1::4] << np.uint64(16) | sig[:, 2::4] << np.uint64(32) | sig[:, 3::4] << np.uint64(48)
+                    sig[i] = signature(s).reshape(CHUNKS, WIDTH)
+            packed = (sig << LANES).sum(axis=2, dtype=np.uint64)
             yield common.record(schema, t.column("doc_id").chunk(0), np.fromiter(map(len, sets), np.int64, len(sets)), [node_of(s) for s in sets], *np.ascontiguousarray(packed.T).view(np.int64))
 
     return run, "doc_id long, n long, node long, " + ", ".join(f"{c} long" for c in SIG)
 
 
 def _keyed(batches):
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+    """(key, node, slot): a key for every chunk and every symbol left out of it; slot tells which."""
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("slot", pa.int32())])
     for b in batches:
         if not b.num_rows:
             continue
         longs = np.stack([b.column(b.schema.get_field_index(c)).to_numpy() for c in SIG], axis=1).view(np.uint64)
-        sym = np.empty((len(longs), LONGS * 4), np.uint64)
-        for k in range(4):
-            sym[:, k::4] = (longs >> np.uint64(16 * k)) & np.uint64(0xFFFF)
-        sym = sym[:, :SYMBOLS].reshape(-1, CHUNKS, WIDTH)
         node = b.column(b.schema.get_field_index("node"))
         for e in range(WIDTH):
-            keep = [i for i in range(WIDTH) if i != e]
-            packed = sym[:, :, keep[0]] | sym[:, :, keep[1]] << np.uint64(16) | sym[:, :, keep[2]] << np.uint64(32) | sym[:, :, keep[3]] << np.uint64(48)
-            keys = common.mix64(packed ^ SALT[e * CHUNKS : (e + 1) * CHUNKS])
+            rest = longs & ~(np.uint64((1 << BITS) - 1) << LANES[e])
             for c in range(CHUNKS):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, c]).view(np.int64)), node], schema=schema)
+                slot = c * WIDTH + e
+                keys = common.mix64(rest[:, c] ^ SALT[slot])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), node, pa.array(np.full(len(keys), slot, np.int32))], schema=schema)
 
 
 def _sets(words):
@@ -140,16 +142,26 @@ def _sets(words):
     return run, "node long, shingles array<long>"
 
 
+def differing(a, b, c):
+    """Symbols of one chunk in which two signatures differ."""
+    x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
+    for k in (6, 3, 1, 1):  # gathers the bits of each lane in its lowest one
+        x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+    return F.bit_count(x.bitwiseAND(F.lit(ONES)))
+
+
 def distance(a, b):
-    """Symbols in which two signatures differ; each long holds four."""
-    total = None
-    for c in SIG:
-        x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
-        for k in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
-        n = F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
-        total = n if total is None else total + n
-    return total
+    return sum((differing(a, b, c) for c in SIG[1:]), differing(a, b, SIG[0]))
+
+
+def first_met(a, b):
+    """Whether the slot of a and b is the first of all buckets that they share."""
+    chunk = F.floor(F.col(f"{a}.slot") / WIDTH)
+    ok = F.lit(True)
+    for i, c in enumerate(SIG):
+        d = differing(a, b, c)
+        ok = ok & ((chunk < i) | (chunk > i) & (d > ERRORS) | (chunk == i) & ((d == ERRORS) | (F.col(f"{a}.slot") == i * WIDTH)))
+    return ok
 
 
 def close(a, b):
@@ -187,32 +199,39 @@ def near_duplicates(docs, words=4):
     nodes = base.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n", *SIG)])
     nodes = common.save(nodes, "nodes")
 
-    # Round 1: every member of a bucket with the bucket's pivot, another pivot in every bucket.
-    keys = nodes.select("node", *SIG).mapInArrow(_keyed, "key long, node long")
-    pivots = keys.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    keys = nodes.select("node", *SIG).mapInArrow(_keyed, "key long, node long, slot int")
+    pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     rows = common.save(keys.join(pivots, "key").where("node <> pivot"), "buckets")
-    stars = rows.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    x, y = nodes.alias("x"), nodes.alias("y")
-    ends = ("a", "b", F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b"))
-    near = stars.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(close("x", "y")).select(*ends)
-    links = _confirmed(docs, near, words)
-    labels = common.components(links)
 
-    # Round 2: members of one bucket that the stars left apart, compared with each other.
-    def labelled(df):
-        return df.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    def near(pairs):
+        x, y = nodes.alias("x"), nodes.alias("y")
+        met = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(close("x", "y"))
+        return met.select("a", "b", F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b"))
+
+    def labelled(df, labels, node="node", comp="comp"):
+        return df.join(labels.select(F.col("node").alias(node), F.col("comp").alias(comp)), node, "left").withColumn(comp, F.coalesce(comp, node))
+
+    # Round 1: every node with the smallest pivot of its buckets.
+    links = _confirmed(docs, near(rows.groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a"))), words)
+    labels = common.components(links)
+    # Round 2: nodes with the other pivots they are still apart from.
+    stars = rows.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    stars = labelled(labelled(stars, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b")
+    links = links.union(_confirmed(docs, near(stars), words))
+    labels = common.components(links)
 
-    rows = common.save(labelled(rows.select("key", "node")), "labelled")
+    # Round 3: members of one bucket that are still apart, with each other.
+    rows = common.save(labelled(rows.select("key", "node", "slot"), labels), "labelled")
     apart = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     rest = common.save(rows.join(apart, "key").join(nodes, "node"), "apart")
     x, y = rest.alias("x"), rest.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & close("x", "y"))
-    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b")).distinct()
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & first_met("x", "y") & close("x", "y"))
+    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b"))
     more = _confirmed(docs, met, words)
     if more.limit(1).count():
         labels = common.components(links.union(more))
 
-    named = labelled(nodes.select("node", "doc"))
+    named = labelled(nodes.select("node", "doc"), labels)
     least = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
     named = named.join(least, "comp").select("node", "component_id")
     out = base.select("doc_id", "n", F.expr("IF(n > 0 AND doc_id IS NOT NULL, node, NULL)").alias("node")).join(named, "node", "left")

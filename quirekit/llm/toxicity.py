@@ -33,7 +33,9 @@ DIM = 12
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 STEM = 4
-EPOCHS, BATCH, RATE = 6, 48, 0.03
+STEPS, BATCH, RATE = 600, 48, 0.03
+#: Passes over the training rows: as many as STEPS takes, within these bounds.
+EPOCHS = (6, 40)
 MAX_GOOD, MAX_BAD, MAX_WORDS = 4000, 2500, 6_000_000
 CUT = 0.7
 CACHE_WORDS = 300_000
@@ -70,8 +72,8 @@ class Hasher:
 class Net:
     def __init__(self, seed=5):
         rng = np.random.RandomState(seed)
-        self.word = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
-        self.stem = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+        self.word = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
+        self.stem = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
         self.filters = [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.bias = np.zeros(len(WIDTHS) * FILTERS, np.float32)
         self.out = rng.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32)
@@ -124,7 +126,7 @@ class Net:
             sums[key] = sums[key] + g * g
             return RATE * g / np.sqrt(sums[key])
 
-        for _ in range(EPOCHS):
+        for _ in range(int(np.clip(STEPS * BATCH // max(1, len(docs)), *EPOCHS))):
             order = rng.permutation(len(docs))
             for a in range(0, len(order), BATCH):
                 pick = order[a : a + BATCH]
