@@ -1,12 +1,13 @@
 """Queries of the subpackage and their DuckDB statements."""
 
-from . import bpe, langid, neardup, passages, quality, rules, secrets, topk, toxicity
+from . import bpe, langid, neardup, packing, passages, quality, rules, secrets, topk, toxicity
 
 QUERIES = {
     "op1_top_k": topk.op1_top_k,
     "op2_quality": quality.op2_quality,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_language": langid.op4_language,
+    "op5_packing": packing.op5_packing,
     "op6_passages": passages.op6_passages,
     "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_bpe": bpe.op8_bpe,
