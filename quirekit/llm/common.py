@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Texts may be long; chunks() joins small batches again by bytes.
 BATCH_ROWS = 256
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 
 
 def small_batches(spark, rows=BATCH_ROWS):

@@ -11,8 +11,8 @@ At the link threshold of 0.8 a chunk of 5 agrees but for one symbol with
 probability 0.74, so ten chunks miss a pair with probability 1.6e-6.
 
 Hot groups: equal shingle sets become one node before anything is keyed. Every
-node is then held against one pivot, the smallest node it shares a bucket with;
-nodes still apart from the other pivots of their buckets against those. Only
+node is then held against one pivot, the best connected node it shares a bucket
+with; nodes still apart from the other pivots of their buckets against those. Only
 members of a bucket that are left in different components are compared with
 each other; the signature distance is part of that join's condition, and a pair
 that shares many buckets comes out of the first of them alone.
@@ -200,8 +200,14 @@ def near_duplicates(docs, words=4):
     nodes = common.save(nodes, "nodes")
 
     keys = nodes.select("node", *SIG).mapInArrow(_keyed, "key long, node long, slot int")
-    pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    rows = common.save(keys.join(pivots, "key").where("node <> pivot"), "buckets")
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    rows = common.save(keys.join(met, "key"), "buckets")
+    # What a family was copied from meets more of it than the copies do: the best connected member is the pivot.
+    weight = rows.groupBy("node").agg(F.sum("m").alias("weight"))
+    rank = F.struct("weight", "node")
+    rows = rows.drop("m").join(weight, "node")
+    pivots = rows.groupBy("key").agg(F.max(rank).alias("top"))
+    rows = common.save(rows.drop("weight").join(pivots, "key").where("node <> top.node"), "pivots")
 
     def near(pairs):
         x, y = nodes.alias("x"), nodes.alias("y")
@@ -211,11 +217,11 @@ def near_duplicates(docs, words=4):
     def labelled(df, labels, node="node", comp="comp"):
         return df.join(labels.select(F.col("node").alias(node), F.col("comp").alias(comp)), node, "left").withColumn(comp, F.coalesce(comp, node))
 
-    # Round 1: every node with the smallest pivot of its buckets.
-    links = _confirmed(docs, near(rows.groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a"))), words)
-    labels = common.components(links)
+    # Round 1: every node with the best connected pivot of its buckets. One step is enough to tell who is still apart.
+    links = _confirmed(docs, near(rows.groupBy(F.col("node").alias("b")).agg(F.max("top").alias("t")).select(F.col("t.node").alias("a"), "b")), words)
+    labels = links.select(F.col("b").alias("node"), F.col("a").alias("comp"))
     # Round 2: nodes with the other pivots they are still apart from.
-    stars = rows.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    stars = rows.select(F.col("top.node").alias("a"), F.col("node").alias("b")).distinct()
     stars = labelled(labelled(stars, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b")
     links = links.union(_confirmed(docs, near(stars), words))
     labels = common.components(links)
