@@ -83,10 +83,10 @@ def black_and_white(image):
 
 
 def closed(image):
-    """Closing with a 2 x 2 square, anchored at its lower right."""
+    """Closing with a 2 x 2 square: dilation to the lower right, erosion back."""
     p = np.pad(image, ((1, 0), (1, 0)), constant_values=0)
     wide = np.maximum.reduce([p[:-1, :-1], p[:-1, 1:], p[1:, :-1], p[1:, 1:]])
-    p = np.pad(wide, ((1, 0), (1, 0)), constant_values=255)
+    p = np.pad(wide, ((0, 1), (0, 1)), constant_values=255)
     return np.minimum.reduce([p[:-1, :-1], p[:-1, 1:], p[1:, :-1], p[1:, 1:]])
 
 

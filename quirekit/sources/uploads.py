@@ -12,7 +12,7 @@ PAGE = "path string, page int, total int, layer_text string, error string, image
 
 
 def read_files(spark, path, glob="*"):
-    """Files as rows (path, modificationTime, length, content), a reason beside those that are refused."""
+    """Files as rows (path, modificationTime, length, content), a reason beside those that are refused. Spark lists no files of zero bytes."""
     return page_ops.accepted_uploads(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path))
 
 
