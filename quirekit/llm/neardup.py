@@ -7,6 +7,10 @@ once for each set of ``ERRORS`` symbols left out finds every such pair. Pairs
 further apart are found too, with high probability; ``FAR`` bounds what goes to
 the exact check, which compares the full shingle sets.
 
+Before the exact check a second sketch of each set (the smallest hash of every
+bin of the hash range) drops pairs that lie ``SIGMAS`` standard deviations below
+the threshold; it would lose a true pair with probability 1e-6.
+
 At the link threshold of 0.8 a chunk of 5 agrees but for one symbol with
 probability 0.74, so ten chunks miss a pair with probability 1.6e-6.
 
@@ -38,6 +42,10 @@ LANES = np.arange(WIDTH, dtype=np.uint64) * np.uint64(BITS)
 ONES = sum(1 << BITS * i for i in range(WIDTH))
 SIG = [f"s{i}" for i in range(CHUNKS)]
 PERCENT = 80
+#: Bins of the second sketch: the smallest hash of each 256th of the hash range, in 8 bits.
+BINS = 256
+#: Standard deviations below the expected matches at the threshold that a pair may lie to be checked.
+SIGMAS = 4.75
 #: Ids beyond this many are matched with their texts by a shuffled join instead of a broadcast.
 BROADCAST_IDS = 500_000
 
@@ -85,6 +93,31 @@ def signature(s):
     return common.mix64(low) >> np.uint64(64 - BITS)
 
 
+def bins_of(s):
+    """BINS bytes of a sorted set of hashes, 0 where a bin is empty."""
+    out = np.zeros(BINS, np.uint8)
+    if len(s):
+        at = (s >> np.uint64(56)).astype(np.int64)
+        first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+        out[at[first]] = common.mix64(s[first]) % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def hopeful(a, b):
+    """Which rows of two arrays of bins may belong to sets that reach the threshold."""
+    used = ((a > 0) | (b > 0)).sum(axis=1)
+    same = ((a == b) & (a > 0)).sum(axis=1)
+    share = PERCENT / 100
+    return same >= share * used - SIGMAS * np.sqrt(share * (1 - share) * used) - 1
+
+
+def _hopeful(batches):
+    for b in batches:
+        if b.num_rows:
+            x, y = (np.frombuffer(b"".join(b.column(b.schema.get_field_index(c)).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("bx", "by"))
+            yield b.select(["a", "b", "doc_a", "doc_b"]).filter(pa.array(hopeful(x, y)))
+
+
 def node_of(s):
     """One 64-bit number for a set of hashes, 0 for the empty set."""
     if not len(s):
@@ -94,7 +127,7 @@ def node_of(s):
 
 
 def _signed(words):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64())] + [(c, pa.int64()) for c in SIG])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bins", pa.binary())] + [(c, pa.int64()) for c in SIG])
 
     def run(batches):
         for t in common.chunks(batches):
@@ -104,9 +137,9 @@ def _signed(words):
                 if len(s):
                     sig[i] = signature(s).reshape(CHUNKS, WIDTH)
             packed = (sig << LANES).sum(axis=2, dtype=np.uint64)
-            yield common.record(schema, t.column("doc_id").chunk(0), np.fromiter(map(len, sets), np.int64, len(sets)), [node_of(s) for s in sets], *np.ascontiguousarray(packed.T).view(np.int64))
+            yield common.record(schema, t.column("doc_id").chunk(0), np.fromiter(map(len, sets), np.int64, len(sets)), [node_of(s) for s in sets], [bins_of(s).tobytes() for s in sets], *np.ascontiguousarray(packed.T).view(np.int64))
 
-    return run, "doc_id long, n long, node long, " + ", ".join(f"{c} long" for c in SIG)
+    return run, "doc_id long, n long, node long, bins binary, " + ", ".join(f"{c} long" for c in SIG)
 
 
 def _keyed(batches):
@@ -196,7 +229,7 @@ def near_duplicates(docs, words=4):
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     run, schema = _signed(words)
     base = common.save(docs.mapInArrow(run, schema), "signed")
-    nodes = base.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n", *SIG)])
+    nodes = base.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n", "bins", *SIG)])
     nodes = common.save(nodes, "nodes")
 
     keys = nodes.select("node", *SIG).mapInArrow(_keyed, "key long, node long, slot int")
@@ -212,7 +245,10 @@ def near_duplicates(docs, words=4):
     def near(pairs):
         x, y = nodes.alias("x"), nodes.alias("y")
         met = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(close("x", "y"))
-        return met.select("a", "b", F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b"))
+        return promising(met.select("a", "b", F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b"), F.col("x.bins").alias("bx"), F.col("y.bins").alias("by")))
+
+    def promising(pairs):
+        return pairs.mapInArrow(_hopeful, "a long, b long, doc_a long, doc_b long")
 
     def labelled(df, labels, node="node", comp="comp"):
         return df.join(labels.select(F.col("node").alias(node), F.col("comp").alias(comp)), node, "left").withColumn(comp, F.coalesce(comp, node))
@@ -229,11 +265,12 @@ def near_duplicates(docs, words=4):
     # Round 3: members of one bucket that are still apart, with each other.
     rows = common.save(labelled(rows.select("key", "node", "slot"), labels), "labelled")
     apart = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = common.save(rows.join(apart, "key").join(nodes, "node"), "apart")
+    rest = common.save(rows.join(apart, "key").join(nodes.drop("bins"), "node"), "apart")
     x, y = rest.alias("x"), rest.alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & first_met("x", "y") & close("x", "y"))
     met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b"))
-    more = _confirmed(docs, met, words)
+    met = met.join(nodes.select(F.col("node").alias("a"), F.col("bins").alias("bx")), "a").join(nodes.select(F.col("node").alias("b"), F.col("bins").alias("by")), "b")
+    more = _confirmed(docs, promising(met.select("a", "b", "doc_a", "doc_b", "bx", "by")), words)
     if more.limit(1).count():
         labels = common.components(links.union(more))
 

@@ -65,3 +65,22 @@ def test_signature_distance():
     a = np.arange(100, dtype=np.uint64)
     assert (neardup.signature(a) == neardup.signature(a[::-1])).all()
     assert len(neardup.signature(a)) == neardup.SYMBOLS
+
+
+def test_second_sketch_keeps_true_pairs():
+    import numpy as np
+
+    rng = np.random.RandomState(1)
+    lost = kept = 0
+    for n in (1, 5, 40, 600, 5000):
+        for _ in range(60):
+            both = rng.randint(0, 1 << 62, n + n // 4 + 1).astype(np.uint64) * np.uint64(4)
+            a, b = np.unique(both[: n + n // 8]), np.unique(np.concatenate([both[:n], both[n + n // 8 :][: n // 8]]))
+            inter = len(np.intersect1d(a, b))
+            if 100 * inter >= 80 * (len(a) + len(b) - inter):
+                kept += 1
+                lost += not neardup.hopeful(neardup.bins_of(a)[None], neardup.bins_of(b)[None])[0]
+    assert kept > 100 and not lost
+    a, b = (np.unique(rng.randint(0, 1 << 62, 600).astype(np.uint64) * np.uint64(4)) for _ in range(2))
+    c = np.unique(np.concatenate([a[:450], b[:150]]))
+    assert not neardup.hopeful(neardup.bins_of(a)[None], neardup.bins_of(c)[None])[0]
