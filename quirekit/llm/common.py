@@ -57,6 +57,25 @@ def chunks(batches, column="text", limit=CHUNK_BYTES):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def groups(batches, keys):
+    """Tables of equal keys from sorted batches; a group ends where its keys change."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        if held is not None:
+            t = pa.concat_tables([held, t]).combine_chunks()
+        k = [t.column(c).to_numpy() for c in keys]
+        cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0)) + 1
+        edges = [0, *cut.tolist()]
+        for a, e in zip(edges, edges[1:]):
+            yield t.slice(a, e - a)
+        held = t.slice(edges[-1])
+    if held is not None:
+        yield held
+
+
 def as_bytes(column):
     """Python bytes (UTF-8) of a string column, None where null."""
     return column.cast(pa.binary()).to_pylist()

@@ -18,8 +18,9 @@ Hot groups: equal shingle sets become one node before anything is keyed. Every
 node is then held against one pivot, the best connected node it shares a bucket
 with; nodes still apart from the other pivots of their buckets against those. Only
 members of a bucket that are left in different components are compared with
-each other; the signature distance is part of that join's condition, and a pair
-that shares many buckets comes out of the first of them alone.
+each other, as arrays of signatures and sketches, so only pairs that may be
+linked leave the place; a pair that shares many buckets is compared in the first of
+them alone, and a bucket of more than BLOCK members block by block.
 
 Defined cases: a null or empty text, or one of white space only, has an empty
 set, links with nothing and is its own component. Rows that repeat a doc_id
@@ -42,8 +43,10 @@ LANES = np.arange(WIDTH, dtype=np.uint64) * np.uint64(BITS)
 ONES = sum(1 << BITS * i for i in range(WIDTH))
 SIG = [f"s{i}" for i in range(CHUNKS)]
 PERCENT = 80
-#: Bins of the second sketch: the smallest hash of each 256th of the hash range, in 8 bits.
-BINS = 256
+#: Bins of the second sketch: the smallest hash of each part of the hash range, in 8 bits.
+BINS = 512
+#: Members of a bucket that are compared in one place; larger buckets are compared block by block.
+BLOCK = 2048
 #: Standard deviations below the expected matches at the threshold that a pair may lie to be checked.
 SIGMAS = 4.75
 #: Ids beyond this many are matched with their texts by a shuffled join instead of a broadcast.
@@ -97,25 +100,90 @@ def bins_of(s):
     """BINS bytes of a sorted set of hashes, 0 where a bin is empty."""
     out = np.zeros(BINS, np.uint8)
     if len(s):
-        at = (s >> np.uint64(56)).astype(np.int64)
+        at = (s >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
         out[at[first]] = common.mix64(s[first]) % np.uint64(255) + np.uint64(1)
     return out
 
 
-def hopeful(a, b):
-    """Which rows of two arrays of bins may belong to sets that reach the threshold."""
+def hopeful(a, b, na, nb):
+    """Which rows of two arrays of bins may belong to sets (of sizes na, nb) that reach the threshold.
+
+    Each bin in use samples one hash of the union, without replacement; so few
+    stay outside the sample for short texts that the test is nearly exact there.
+    """
     used = ((a > 0) | (b > 0)).sum(axis=1)
     same = ((a == b) & (a > 0)).sum(axis=1)
     share = PERCENT / 100
-    return same >= share * used - SIGMAS * np.sqrt(share * (1 - share) * used) - 1
+    union = (na + nb) / (1 + share)
+    spread = np.sqrt(share * (1 - share) * used * np.clip((union - used) / np.maximum(union - 1, 1), 0, 1))
+    return same >= share * used - SIGMAS * spread - 1
 
 
 def _hopeful(batches):
     for b in batches:
         if b.num_rows:
             x, y = (np.frombuffer(b"".join(b.column(b.schema.get_field_index(c)).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("bx", "by"))
-            yield b.select(["a", "b", "doc_a", "doc_b"]).filter(pa.array(hopeful(x, y)))
+            na, nb = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("na", "nb"))
+            yield b.select(["a", "b", "doc_a", "doc_b"]).filter(pa.array(hopeful(x, y, na, nb)))
+
+
+def _lanes(x):
+    """How many lanes of numpy longs are not zero."""
+    for k in (6, 3, 1, 1):
+        x = x | (x >> np.uint64(k))
+    return np.bitwise_count(x & np.uint64(ONES))
+
+
+def apart_pairs(g):
+    """Pairs of rows of one bucket (or pair of its blocks) that may be linked: row numbers (i, j), node i below node j.
+
+    g: node, comp, n, slot, sig, bins, block of the members, and cross: whether only pairs of two blocks count.
+    """
+    node, comp, n, sig = g["node"], g["comp"], g["n"], g["sig"]
+    chunk, first = divmod(int(g["slot"][0]), WIDTH)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    step = max(1, (1 << 20) // len(node))
+    for a in range(0, len(node), step):
+        rows = slice(a, a + step)
+        ok = (node[rows, None] < node[None, :]) & (comp[rows, None] != comp[None, :])
+        if g["cross"]:
+            # A block pair holds both blocks; pairs within one are met elsewhere.
+            ok &= g["block"][rows, None] != g["block"][None, :]
+        ok &= np.minimum(n[rows, None], n[None, :]) * 100 >= np.maximum(n[rows, None], n[None, :]) * PERCENT
+        i, j = np.nonzero(ok)
+        i += a
+        total = np.zeros(len(i), np.int64)
+        for c in range(CHUNKS):
+            d = _lanes(sig[i, c] ^ sig[j, c])
+            if c < chunk:
+                fits = d > ERRORS
+            elif c == chunk:
+                fits = (d == ERRORS) | (first == 0)
+            else:
+                fits = np.ones(len(i), bool)
+            total += d
+            fits &= total <= FAR
+            i, j, total = i[fits], j[fits], total[fits]
+        for k in range(0, len(i), 8192):
+            x, y = i[k : k + 8192], j[k : k + 8192]
+            good = hopeful(g["bins"][x], g["bins"][y], n[x], n[y])
+            out.append((x[good], y[good]))
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def _apart(batches):
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "doc_a", "doc_b")])
+    for t in common.groups(batches, ("key", "lo", "hi")):
+        t = t.combine_chunks()
+        long = lambda c: t.column(c).to_numpy()
+        g = {c: long(c) for c in ("node", "comp", "n", "slot", "block")}
+        g["cross"] = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
+        g["sig"] = np.stack([long(c) for c in SIG], axis=1).view(np.uint64)
+        g["bins"] = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+        i, j = apart_pairs(g)
+        if len(i):
+            yield common.record(schema, g["node"][i], g["node"][j], long("doc")[i], long("doc")[j])
 
 
 def node_of(s):
@@ -187,16 +255,6 @@ def distance(a, b):
     return sum((differing(a, b, c) for c in SIG[1:]), differing(a, b, SIG[0]))
 
 
-def first_met(a, b):
-    """Whether the slot of a and b is the first of all buckets that they share."""
-    chunk = F.floor(F.col(f"{a}.slot") / WIDTH)
-    ok = F.lit(True)
-    for i, c in enumerate(SIG):
-        d = differing(a, b, c)
-        ok = ok & ((chunk < i) | (chunk > i) & (d > ERRORS) | (chunk == i) & ((d == ERRORS) | (F.col(f"{a}.slot") == i * WIDTH)))
-    return ok
-
-
 def close(a, b):
     """Set sizes and signatures leave room for the threshold."""
     lo, hi = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
@@ -245,7 +303,7 @@ def near_duplicates(docs, words=4):
     def near(pairs):
         x, y = nodes.alias("x"), nodes.alias("y")
         met = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(close("x", "y"))
-        return promising(met.select("a", "b", F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b"), F.col("x.bins").alias("bx"), F.col("y.bins").alias("by")))
+        return promising(met.select("a", "b", F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b"), F.col("x.bins").alias("bx"), F.col("y.bins").alias("by"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")))
 
     def promising(pairs):
         return pairs.mapInArrow(_hopeful, "a long, b long, doc_a long, doc_b long")
@@ -264,13 +322,13 @@ def near_duplicates(docs, words=4):
 
     # Round 3: members of one bucket that are still apart, with each other.
     rows = common.save(labelled(rows.select("key", "node", "slot"), labels), "labelled")
-    apart = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = common.save(rows.join(apart, "key").join(nodes.drop("bins"), "node"), "apart")
-    x, y = rest.alias("x"), rest.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & first_met("x", "y") & close("x", "y"))
-    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b"))
-    met = met.join(nodes.select(F.col("node").alias("a"), F.col("bins").alias("bx")), "a").join(nodes.select(F.col("node").alias("b"), F.col("bins").alias("by")), "b")
-    more = _confirmed(docs, promising(met.select("a", "b", "doc_a", "doc_b", "bx", "by")), words)
+    apart = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
+    rest = rows.join(apart.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
+    rest = rest.withColumn("cell", F.explode(cells)).select("key", "cell.*", "node", "slot", "comp", "block").join(nodes, "node")
+    rest = rest.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    more = _confirmed(docs, rest.mapInArrow(_apart, "a long, b long, doc_a long, doc_b long"), words)
     if more.limit(1).count():
         labels = common.components(links.union(more))
 

@@ -52,6 +52,21 @@ def test_matches_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_families_without_an_original(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(11)
+    rows, ids = [], iter(rng.sample(range(10_000), 400))
+    for _ in range(4):
+        text = " ".join(rng.choices([f"w{i}" for i in range(900)], k=160))
+        for _ in range(70):
+            # Copies of copies: each resembles its neighbours, the ends do not.
+            text = noisy(text, rng, rng.randrange(1, 7))
+            rows.append((next(ids), text))
+    rng.shuffle(rows)
+    got = sorted(map(tuple, neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute(rows)
+
+
 def test_null_id_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (None, None)], "doc_id long, text string")
     got = {tuple(r) for r in neardup.near_duplicates(df).collect()}
@@ -79,8 +94,8 @@ def test_second_sketch_keeps_true_pairs():
             inter = len(np.intersect1d(a, b))
             if 100 * inter >= 80 * (len(a) + len(b) - inter):
                 kept += 1
-                lost += not neardup.hopeful(neardup.bins_of(a)[None], neardup.bins_of(b)[None])[0]
+                lost += not neardup.hopeful(neardup.bins_of(a)[None], neardup.bins_of(b)[None], len(a), len(b))[0]
     assert kept > 100 and not lost
     a, b = (np.unique(rng.randint(0, 1 << 62, 600).astype(np.uint64) * np.uint64(4)) for _ in range(2))
     c = np.unique(np.concatenate([a[:450], b[:150]]))
-    assert not neardup.hopeful(neardup.bins_of(a)[None], neardup.bins_of(c)[None])[0]
+    assert not neardup.hopeful(neardup.bins_of(a)[None], neardup.bins_of(c)[None], len(a), len(c))[0]
