@@ -11,8 +11,9 @@ stratum loses less than ``RISK`` of its good documents to all rules together.
 Of the certified cutoffs the one that rejects most bad documents is taken, the
 loosest of those; a rule without one is off in that stratum.
 
-At most ``MAX_LABELLED`` labelled documents, those of the smallest id hashes,
-take part in the choice. Defined cases: null texts are empty and fail the base
+All labelled documents take part in the choice. Quantiles that propose cutoffs
+are Spark's, with a rank error of 1 / ``ACCURACY``; what lies beyond a cutoff is
+counted exactly, and only these sums reach the driver. Defined cases: null texts are empty and fail the base
 rule (fewer than 20 words); null labels, ids or labels other than 0 and 1 are
 not used; a document with several labels counts as bad if one of them is 0.
 """
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from . import common, docstats
 
 RISK, DELTA = 0.05, 0.05
-MAX_LABELLED = 60_000
 GRID = 12
+QUANTILES = (0.98, 0.995)
+ACCURACY = 10_000
 #: Upper ends of the strata, in words.
 STRATA = (100, 400, 1500, float("inf"))
 #: (statistic, sign): the rule rejects where sign * statistic > cutoff.
@@ -53,34 +55,46 @@ def stratum(words):
     return np.searchsorted(np.array(STRATA), words, side="left")
 
 
+def certified(k, n, delta, limit):
+    """Whether binomial_upper(k, n, delta) <= limit, by one sum."""
+    if k >= n or k > limit * n:
+        return False
+    at = math.lgamma(n + 1)
+    return sum(math.exp(at - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(limit) + (n - i) * math.log1p(-limit)) for i in range(k + 1)) <= delta
+
+
+def grid(quantiles, top, far):
+    """Cutoffs to try: quantiles of good texts, their maximum, and steps from it to a value of bad texts beyond, or None."""
+    found = [*quantiles, top]
+    return found if far is None else found + list(np.linspace(top, far, GRID - len(found) + 1)[1:])
+
+
+def pick(tried, n):
+    """The best of (cutoff, good documents beyond, bad ones beyond) with n good documents; infinite where none is certified."""
+    best = (0, -math.inf)
+    for cut, good, bad in tried:
+        if certified(good, n, DELTA / (len(STRATA) * len(RULES) * GRID), RISK / len(RULES)):
+            best = max(best, (bad, cut))
+    return best[1] if best[0] > 0 else math.inf
+
+
 def choose(values, labels, halves, strata):
-    """cutoffs[stratum][rule] of signed statistics; infinite where none is certified.
+    """cutoffs[stratum][rule] of signed statistics held in memory; infinite where none is certified.
 
     values: a matrix of signed statistics, a column for each rule. halves: True for the holdout.
     """
-    n_rules = values.shape[1]
-    delta = DELTA / (len(STRATA) * n_rules * GRID)
-    limit = RISK / n_rules
-    out = np.full((len(STRATA), n_rules), np.inf)
+    out = np.full((len(STRATA), values.shape[1]), np.inf)
     for s in range(len(STRATA)):
         at = strata == s
-        good, bad = values[at & (labels == 1) & halves], values[at & (labels == 0) & halves]
+        good = values[at & (labels == 1) & halves]
         near, far = values[at & (labels == 1) & ~halves], values[at & (labels == 0) & ~halves]
         if not len(near) or not len(far) or not len(good):
             continue
-        for r in range(n_rules):
+        for r in range(values.shape[1]):
             top = near[:, r].max()
-            # Between the best and the worst: values of good texts near their maximum, and steps beyond it.
             beyond = np.unique(far[far[:, r] > top, r])
-            grid = list(np.quantile(near[:, r], [0.98, 0.995, 1.0]))
-            if len(beyond):
-                grid += list(np.linspace(top, beyond[len(beyond) // 10], GRID - len(grid) + 1)[1:])
-            best = (0, -math.inf)
-            for cut in grid:
-                if binomial_upper(int((good[:, r] > cut).sum()), len(good), delta) <= limit:
-                    best = max(best, (int((far[:, r] > cut).sum()), cut))
-            if best[0] > 0:
-                out[s, r] = best[1]
+            cuts = grid(np.quantile(near[:, r], QUANTILES), top, beyond[len(beyond) // 10] if len(beyond) else None)
+            out[s, r] = pick([(c, int((good[:, r] > c).sum()), int((far[:, r] > c).sum())) for c in cuts], len(good))
     return out
 
 
@@ -90,11 +104,6 @@ def labelled(labels, column):
     return ok.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(column).cast("int").alias("label"))
 
 
-def bounded(rows, limit, *columns):
-    """At most ``limit`` rows, those of the smallest id hashes, gathered on the driver."""
-    return rows.orderBy(F.xxhash64("doc_id"), *columns).limit(limit).toPandas()
-
-
 def _counted(batches):
     schema = pa.schema([("doc_id", pa.int64())] + [(c, pa.int64()) for c in docstats.COUNTS])
     for t in common.chunks(batches):
@@ -114,14 +123,76 @@ def _signed(rows):
     return np.stack([sign * f[:, docstats.FEATURES.index(name)] for name, sign in RULES], axis=1)
 
 
+VALUES = [f"v{r}" for r in range(len(RULES))]
+
+
+def _placed(batches):
+    schema = pa.schema([("stratum", pa.int32()), ("label", pa.int32()), ("held", pa.bool_())] + [(v, pa.float64()) for v in VALUES])
+    for b in batches:
+        if b.num_rows:
+            c = np.stack([b.column(n).to_numpy() for n in docstats.COUNTS], axis=1)
+            held = common.mix64(b.column("doc_id").to_numpy().view(np.uint64)) % np.uint64(2) == 1
+            yield common.record(schema, stratum(c[:, 0]).astype(np.int32), b.column("label"), held, *np.ascontiguousarray(_signed(c).T))
+
+
+def _beyond(tops):
+    schema = pa.schema([("stratum", pa.int32()), ("rule", pa.int32()), ("v", pa.float64())])
+
+    def run(batches):
+        for b in batches:
+            s = b.column("stratum").to_numpy()
+            for r, name in enumerate(VALUES):
+                v = b.column(name).to_numpy()
+                some = v > tops[s, r]
+                yield common.record(schema, s[some], np.full(int(some.sum()), r, np.int32), v[some])
+
+    return run
+
+
+def _tallied(cuts):
+    schema = pa.schema([("stratum", pa.int32()), ("rule", pa.int32()), ("cut", pa.int32()), ("good", pa.int64()), ("bad", pa.int64())])
+
+    def run(batches):
+        total = {k: np.zeros((len(v), 2), np.int64) for k, v in cuts.items()}
+        for b in batches:
+            s, bad = b.column("stratum").to_numpy(), b.column("label").to_numpy() == 0
+            for (at, r), some in cuts.items():
+                v = b.column(VALUES[r]).to_numpy()
+                for i, x in enumerate(some):
+                    over = (v > x) & (s == at)
+                    total[at, r][i] += int((over & ~bad).sum()), int((over & bad).sum())
+        rows = [(at, r, i, *n) for (at, r), t in total.items() for i, n in enumerate(t.tolist())]
+        if rows:
+            yield common.record(schema, *[list(c) for c in zip(*rows)])
+
+    return run
+
+
 def fit(counted, labels, column="quality"):
-    """Cutoffs for each stratum and rule."""
-    rows = bounded(counted.join(labelled(labels, column), "doc_id"), MAX_LABELLED, *docstats.COUNTS)
-    if not len(rows):
-        return np.full((len(STRATA), len(RULES)), np.inf)
-    c = rows[list(docstats.COUNTS)].to_numpy(np.int64)
-    ids = common.mix64(rows["doc_id"].to_numpy(np.int64).view(np.uint64))
-    return choose(_signed(c), rows["label"].to_numpy(), ids % np.uint64(2) == 1, stratum(c[:, 0]))
+    """Cutoffs for each stratum and rule, by all labelled documents."""
+    out = np.full((len(STRATA), len(RULES)), np.inf)
+    placed = counted.join(labelled(labels, column), "doc_id").select("doc_id", "label", *docstats.COUNTS)
+    placed = common.save(placed.mapInArrow(_placed, "stratum int, label int, held boolean, " + ", ".join(f"{v} double" for v in VALUES)), "placed")
+    sums = [F.percentile_approx(v, list(QUANTILES), ACCURACY).alias(f"q_{v}") for v in VALUES] + [F.max(v).alias(f"top_{v}") for v in VALUES]
+    near = {r.stratum: r for r in placed.where("label = 1 AND NOT held").groupBy("stratum").agg(*sums).collect()}
+    far = placed.where("label = 0 AND NOT held")
+    sizes = {(r.stratum, r.label): r["count"] for r in placed.where("held = (label = 1)").groupBy("stratum", "label").count().collect()}
+    known = [s for s in sorted(near) if sizes.get((s, 1)) and sizes.get((s, 0))]
+    if not known:
+        return out
+    tops = np.full(out.shape, np.inf)
+    for s in known:
+        tops[s] = [near[s][f"top_{v}"] for v in VALUES]
+    beyond = far.mapInArrow(_beyond(tops), "stratum int, rule int, v double").distinct()
+    ends = {(r.stratum, r.rule): r.v for r in beyond.groupBy("stratum", "rule").agg(F.percentile_approx("v", 0.1, ACCURACY).alias("v")).collect()}
+    cuts = {(s, r): grid(near[s][f"q_{v}"], tops[s, r], ends.get((s, r))) for s in known for r, v in enumerate(VALUES)}
+    tallied = placed.where("held = (label = 1)").mapInArrow(_tallied(cuts), "stratum int, rule int, cut int, good long, bad long")
+    tried = {}
+    for t in tallied.groupBy("stratum", "rule", "cut").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect():
+        tried.setdefault((t.stratum, t.rule), []).append((cuts[t.stratum, t.rule][t.cut], t.good, t.bad))
+    for (s, r), some in tried.items():
+        out[s, r] = pick(some, sizes[s, 1])
+    return out
 
 
 def apply_rules(docs, labels, column="quality"):

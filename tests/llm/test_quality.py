@@ -73,6 +73,23 @@ def test_rules_keep_good_documents():
     assert max((new > c).mean() for c in cut.ravel()) <= rules.RISK
 
 
+def test_rare_stratum_is_certified_by_all_labels(spark):
+    # 4800 good documents of 200,000 are long: a sample of 60,000 holds out about 720 of them, and 1427 are needed.
+    n, long = 200_000, 6000
+    c = {k: "0" for k in docstats.COUNTS} | {"n_words": f"IF(id < {long}, 2000, 50)", "word_chars": "10000", "n_symbols": "IF(id % 5 = 0, 500 + id % 100, id % 3)"}
+    counted = spark.range(n).selectExpr("id AS doc_id", *[f"CAST({v} AS long) AS {k}" for k, v in c.items()])
+    labels = spark.range(n).selectExpr("id AS doc_id", "IF(id % 5 = 0, 0, 1) AS quality")
+    cut = rules.fit(counted, labels)
+    at = [name for name, _ in rules.RULES].index("symbols")
+    assert np.isfinite(cut[3, at]) and np.isfinite(cut[0, at]) and cut[3, at] < 0.05
+
+
+def test_one_sum_agrees_with_the_bound():
+    for n in (1, 50, 700, 3000):
+        for k in range(0, min(n, 40), 3):
+            assert rules.certified(k, n, 0.001, 0.01) == (rules.binomial_upper(k, n, 0.001) <= 0.01)
+
+
 def held_out(spark, query, label, k, r):
     got = query(spark, AT).toPandas()
     truth = dict(duckdb.sql(f"SELECT doc_id, min({label}) FROM '{AT}/labels.parquet' GROUP BY 1").fetchall())
