@@ -21,25 +21,100 @@ def small_batches(spark, rows=BATCH_ROWS):
 
 
 def scratch_dir(spark):
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share. Unset, a local one is made where master is local; a cluster must name one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all share")
     own = getattr(spark, "_quirekit_scratch", None)
     if own is None:
         own = spark._quirekit_scratch = "file://" + tempfile.mkdtemp(prefix="quirekit-")
     return own
 
 
+def _files(spark, path):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def save(df, name):
     """Write a table to the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quirekit-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _files(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*tables):
+    """Delete tables of save() that nothing will read again; the rest go when the session ends."""
+    for df in tables:
+        where, files = _files(df.sparkSession, df._scratch)
+        files.delete(where, True)
+
+
+def fresh(columns, *names):
+    """The names, each with underscores in front until no column is called so."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def smallest(df, keys, n, total=None):
+    """The ``n`` rows of the smallest hash of ``keys``; a row takes part in the sort only if its hash can be among them.
+
+    A hash bound drawn from one count leaves about n rows of all partitions
+    together (six deviations more), so what is sorted does not grow with the table.
+    """
+    total = df.count() if total is None else total
+    h = F.xxhash64(*keys)
+    return below(df, h, n, total).orderBy(h, *keys).limit(n)
+
+
+def below(df, h, n, total):
+    """Rows whose hash is low enough to be among the smallest n of ``total``, but for a chance of 1e-9."""
+    if total <= n:
+        return df
+    share = min(1.0, (n + 6 * n**0.5 + 36) / total)
+    return df.where(h < F.lit(int(-(1 << 63) + share * ((1 << 64) - 1))))
+
+
+#: A key with more than one in so many rows of a table is dealt over several places.
+HOT_SHARE = 4096
+HOT_LEAST = 256
+
+
+def salted_join(rows, items, key, counts=None, how="inner"):
+    """rows joined with items on ``key``, hot keys dealt over salts.
+
+    A key is hot if more than one in HOT_SHARE rows carry it, so there are at
+    most HOT_SHARE hot keys (they are broadcast) and the copies made of their
+    items are at most twice as many. ``counts``: (key, rows that carry it) if known.
+    """
+    rows_n, salt, copies = fresh({*rows.columns, *items.columns}, "hot_rows", "salt", "copies")
+    keys = [key] if isinstance(key, str) else list(key)
+    if counts is None:
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(rows_n))
+    else:
+        counts = counts.toDF(*keys, rows_n)
+    total = counts.agg(F.sum(rows_n)).first()[0] or 0
+    most = max(HOT_LEAST, total // HOT_SHARE)
+    hot = counts.where(F.col(rows_n) > most).select(*keys, F.ceil(F.col(rows_n) / most).cast("int").alias(copies))
+    hot = save(hot, "hot")
+    if not hot.limit(1).count():
+        return rows.join(items, keys, how)
+    hot = F.broadcast(hot)
+    left = rows.join(hot, keys, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col(copies)).cast("int"), F.lit(0))).drop(copies)
+    right = items.join(hot, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(copies), F.lit(1)) - 1))).drop(copies)
+    return left.join(right, [*keys, salt], how).drop(salt)
 
 
 def chunks(batches, column="text", limit=CHUNK_BYTES):

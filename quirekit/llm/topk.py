@@ -2,7 +2,7 @@
 
 A node is one partition of the vectors; a query's score list at a node holds
 the node's vectors by score. Phase 1 gathers every node's k best entries and
-finds, for each query, the k-th best entry of them all: no answer can lie
+finds, for each query, the k-th best distinct id of them all: no answer can lie
 below it, so it is a safe cutoff. Phase 2 broadcasts the cutoffs and collects
 the entries that may reach them: a node first scores half of the components and
 adds the largest value the other half can contribute (Cauchy-Schwarz), and
@@ -11,7 +11,8 @@ remaining half exactly, ranks the entries and keeps k.
 
 The queries are taken in blocks of ``QUERY_BLOCK``, so what is broadcast is at
 most that many vectors and cutoffs, whatever the input; each block is one pass
-over the vectors.
+over the vectors, its answers are appended to a table and its broadcasts freed
+before the next, so neither the plan nor memory grows with the blocks.
 
 Components are floor(1024 * x) as integers. Sums are exact: float64 products
 are used only where every partial sum stays below 2**53, 64-bit integers else.
@@ -23,6 +24,8 @@ best score; if the rows of a query id hold different vectors, the smallest in
 array order is the query. Ties go to the smaller id.
 """
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window
@@ -149,27 +152,32 @@ def top_k(queries, vectors, k=10):
         return df.where(finite).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"))
 
     asked = whole(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    total = asked.count()
-    blocks = -(-total // QUERY_BLOCK)
+    asked = common.save(asked.withColumn("h", F.xxhash64("vec_id")), "asked")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     data = whole(vectors)
-    out = None
-    # Blocks are ranges of a hash of the id: no sort of all queries, and a block's size is checked as it is fetched.
-    for n in range(max(1, blocks)):
-        rows = [(r.vec_id, r.v) for r in asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))) == n).collect()]
+    path = f"{common.scratch_dir(spark)}/quirekit-answers-{uuid.uuid4().hex}"
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # Blocks are ranges of a hash of the id: no sort of all queries, and a block's size is bounded as it is fetched.
+    for n in range(blocks):
+        rows = [(r.vec_id, r.v) for r in asked.where(F.pmod("h", F.lit(blocks)) == n).select("vec_id", "v").collect()]
         block = spark.sparkContext.broadcast(Block(rows))
-        local = data.mapInArrow(_best(k, block), "query_id long, score long, vec_id long").distinct()
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        local = data.mapInArrow(_best(k, block), "query_id long, score long, vec_id long")
+        # An id counts once, with its best score: the k-th entry may be a second vector of an id met before.
+        local = local.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         last = local.withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select("query_id", "score", "vec_id").collect()
         found = {r.query_id: (r.score, r.vec_id) for r in last}
-        low = (np.iinfo(np.int64).min, 0)
+        low = (np.iinfo(np.int64).min, np.iinfo(np.int64).max)
         cutoffs = {size: tuple(np.array(c, np.int64) for c in zip(*[found.get(int(i), low) for i in qids])) for size, (qids, _) in block.value.by_size.items()}
         sent = spark.sparkContext.broadcast(cutoffs)
         part = data.mapInArrow(_reach(block, sent), "query_id long, vec_id long, score long")
-        out = part if out is None else out.unionAll(part)
-    out = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        part = part.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        ranked = part.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        ranked.write.mode("append").parquet(path)
+        block.destroy()
+        sent.destroy()
+    where, files = common._files(spark, path)
+    files.deleteOnExit(where)
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(path)
 
 
 ORACLE = """
@@ -178,10 +186,12 @@ WITH v AS (
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id, min(v) AS v FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+         max(CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT)) AS score
+  FROM q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  GROUP BY q.vec_id, c.vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """

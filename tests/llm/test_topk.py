@@ -43,3 +43,20 @@ def test_oracle(spark):
     got = sorted(map(tuple, topk.op1_top_k(spark, at).select("query_id", "rank", "vec_id", "score").collect()))
     duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{at}/embeddings.parquet'")
     assert got == sorted(duckdb.sql(topk.ORACLE).fetchall())
+
+
+def test_an_id_on_several_vectors_counts_once(spark):
+    rng = random.Random(4)
+    rows = [(0, [1.0, 1.0])] + [(7, [3.0 - i / 10, 3.0]) for i in range(2)] + [(10 + i, [rng.random(), rng.random()]) for i in range(13)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = sorted(map(tuple, topk.top_k(df.where("vec_id % 100 = 0"), df, 10).collect()))
+    want = brute([(r.vec_id, r.embedding) for r in df.collect()], 10)
+    assert got == want and sum(q == 0 for q, *_ in got) == 10
+
+
+def test_oracle_merges_repeated_ids(spark, tmp_path):
+    rows = [(0, [1.0, 1.0]), (0, [0.5, 2.0]), (7, [3.0, 3.0]), (7, [2.5, 3.0])] + [(10 + i, [i / 7, 1 - i / 5]) for i in range(13)] + [(100, None), (200, [1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(map(tuple, topk.op1_top_k(spark, str(tmp_path)).collect()))
+    duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(duckdb.sql(topk.ORACLE).fetchall()) and len(got) == 10
