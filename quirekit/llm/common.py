@@ -76,15 +76,13 @@ def smallest(df, keys, n, total=None):
     """
     total = df.count() if total is None else total
     h = F.xxhash64(*keys)
-    return below(df, h, n, total).orderBy(h, *keys).limit(n)
+    return df.where(h <= F.lit(bound(n, total))).orderBy(h, *keys).limit(n)
 
 
-def below(df, h, n, total):
-    """Rows whose hash is low enough to be among the smallest n of ``total``, but for a chance of 1e-9."""
-    if total <= n:
-        return df
-    share = min(1.0, (n + 6 * n**0.5 + 36) / total)
-    return df.where(h < F.lit(int(-(1 << 63) + share * ((1 << 64) - 1))))
+def bound(n, total):
+    """The signed 64-bit hash that the smallest n of ``total`` hashes do not exceed, but for a chance of 1e-9."""
+    share = 1.0 if total <= n else min(1.0, (n + 6 * n**0.5 + 36) / total)
+    return min((1 << 63) - 1, int(-(1 << 63) + share * ((1 << 64) - 1)))
 
 
 #: A key with more than one in so many rows of a table is dealt over several places.

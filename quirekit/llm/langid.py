@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -29,8 +30,6 @@ from . import common
 FILE = "piece_bpe_32k.model"
 MAX_DOCS = 800
 ROUNDS = 2
-#: Longest piece in letters that is used.
-LONGEST = 8
 #: Log-probability of a letter outside the vocabulary, the same in all languages.
 UNKNOWN = -14.0
 #: Added to each expected use, so no piece is impossible in a language.
@@ -58,7 +57,7 @@ def pieces(path):
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             p = model.id_to_piece(i).lower()
-            if len(p) <= LONGEST and p.strip("▁"):
+            if p.strip("▁"):
                 found.setdefault(p, len(found))
     return list(found)
 
@@ -68,6 +67,8 @@ class Lookup:
 
     def __init__(self, vocabulary):
         self.size = len(vocabulary)
+        self.longest = max(map(len, vocabulary), default=0)
+        self.lengths = {len(p) for p in vocabulary}
         keys = np.array([int(self._fold(np.array([[ord(c) for c in p]], np.uint64))[0]) for p in vocabulary], np.uint64)
         bits = 18
         self.shift = np.uint64(64 - bits)
@@ -126,11 +127,14 @@ def lattice(lookup, letters, sizes):
     """ids[k][:, i]: the piece of k + 1 letters that ends at letter i of each word, -1 for none."""
     n, width = letters.shape
     ids = []
-    for k in range(min(LONGEST, width)):
-        h = np.zeros((n, width - k), np.uint64)
-        for j in range(k + 1):
-            h = (h ^ letters[:, j : width - k + j]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
+    h = np.zeros((n, width), np.uint64)
+    for k in range(min(lookup.longest, width)):
+        # One letter more than before, from every place that has so many.
+        h = (h[:, : width - k] ^ letters[:, k:]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        if k + 1 not in lookup.lengths:
+            ids.append(np.full((n, width), -1, np.int32))
+            continue
         found = np.full((n, width), -1, np.int32)
         got = lookup.find(h.ravel()).reshape(h.shape)
         # A piece may not reach past its word.
@@ -242,12 +246,18 @@ def fit(docs, path):
     vocabulary = pieces(path)
     lookup = Lookup(vocabulary)
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
-    # Ids first, texts after: the choice reads two narrow columns, and what it sends is bounded.
-    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
+    # Ids first, texts after: the choice reads two narrow columns, and what it sends is bounded. One pass for all
+    # languages: a bound on the hash, from a language's count, leaves little more than MAX_DOCS of each to be ranked.
+    pairs = known.select("doc_id", "lang").distinct()
+    sizes = {r.lang: r["count"] for r in pairs.groupBy("lang").count().collect()}
+    langs = sorted(sizes)
     ids = []
-    for lang in langs:
-        few = known.where(F.col("lang") == lang).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCS)
-        ids += [(r.doc_id, lang) for r in few.collect()]
+    if langs:
+        top = [(lang, common.bound(MAX_DOCS, n)) for lang, n in sizes.items()]
+        few = pairs.join(F.broadcast(docs.sparkSession.createDataFrame(top, "lang string, top long")), "lang")
+        few = few.withColumn("h", F.xxhash64("doc_id")).where("h <= top")
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+        ids = [(r.doc_id, r.lang) for r in few.withColumn("rank", rank).where(F.col("rank") <= MAX_DOCS).select("doc_id", "lang").collect()]
     if not ids:
         return [], lookup, None
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, lang string")

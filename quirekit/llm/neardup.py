@@ -195,7 +195,7 @@ def node_of(s):
 
 
 def _signed(words):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bins", pa.binary())] + [(c, pa.int64()) for c in SIG])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bins", pa.binary())] + [(c, pa.int64()) for c in SIG])
 
     def run(batches):
         for t in common.chunks(batches):
@@ -205,9 +205,9 @@ def _signed(words):
                 if len(s):
                     sig[i] = signature(s).reshape(CHUNKS, WIDTH)
             packed = (sig << LANES).sum(axis=2, dtype=np.uint64)
-            yield common.record(schema, t.column("doc_id").chunk(0), np.fromiter(map(len, sets), np.int64, len(sets)), [node_of(s) for s in sets], [bins_of(s).tobytes() for s in sets], *np.ascontiguousarray(packed.T).view(np.int64))
+            yield common.record(schema, t.column("doc_id").chunk(0), t.column("text_hash").chunk(0), np.fromiter(map(len, sets), np.int64, len(sets)), [node_of(s) for s in sets], [bins_of(s).tobytes() for s in sets], *np.ascontiguousarray(packed.T).view(np.int64))
 
-    return run, "doc_id long, n long, node long, bins binary, " + ", ".join(f"{c} long" for c in SIG)
+    return run, "doc_id long, text_hash long, n long, node long, bins binary, " + ", ".join(f"{c} long" for c in SIG)
 
 
 def _keyed(batches):
@@ -271,34 +271,42 @@ def _confirmed(docs, pairs, words):
     found = docs.where("text IS NOT NULL").join(need, "doc_id").select("node", "text").mapInArrow(run, schema)
     found = common.save(found.dropDuplicates(["node"]), "sets")
     left, right = found.selectExpr("node AS a", "shingles AS sa"), found.selectExpr("node AS b", "shingles AS sb")
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    # The set of b travels to the place of a, whose set is copied where a is hot: what is sent is one set for each pair.
+    some = common.salted_join(pairs.select("a", "b"), right, "b")
+    both = common.salted_join(some, left, "a", pairs.groupBy("a").count())
     both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("i"))
-    return common.save(both.where(f"100 * i >= {PERCENT} * (na + nb - i)").select("a", "b"), "links")
+    links = common.save(both.where(f"100 * i >= {PERCENT} * (na + nb - i)").select("a", "b"), "links")
+    common.drop(pairs, found)
+    return links
 
 
 def near_duplicates(docs, words=4):
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept: one row for each row.
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept, group, text_hash: one row for each row.
 
     ``words`` is the shingle length. Documents are linked where 100 times the
     intersection of their sets is at least 80 times the union; component_id is
-    the smallest doc_id reachable over links.
+    the smallest doc_id reachable over links. ``group`` numbers the component
+    of the row's own text (null where it links with nothing by definition) and
+    tells rows apart that repeat a doc_id; text_hash is Spark's xxhash64 of it.
     """
     common.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
     run, schema = _signed(words)
-    base = common.save(docs.mapInArrow(run, schema), "signed")
+    base = common.save(hashed.mapInArrow(run, schema), "signed")
     nodes = base.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n", "bins", *SIG)])
     nodes = common.save(nodes, "nodes")
 
     keys = nodes.select("node", *SIG).mapInArrow(_keyed, "key long, node long, slot int")
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    rows = common.save(keys.join(met, "key"), "buckets")
+    rows = met = common.save(keys.join(met, "key"), "buckets")
     # What a family was copied from meets more of it than the copies do: the best connected member is the pivot.
     weight = rows.groupBy("node").agg(F.sum("m").alias("weight"))
     rank = F.struct("weight", "node")
     rows = rows.drop("m").join(weight, "node")
     pivots = rows.groupBy("key").agg(F.max(rank).alias("top"))
     rows = common.save(rows.drop("weight").join(pivots, "key").where("node <> top.node"), "pivots")
+    common.drop(met)
 
     def near(pairs):
         x, y = nodes.alias("x"), nodes.alias("y")
@@ -321,7 +329,8 @@ def near_duplicates(docs, words=4):
     labels = common.components(links)
 
     # Round 3: members of one bucket that are still apart, with each other.
-    rows = common.save(labelled(rows.select("key", "node", "slot"), labels), "labelled")
+    pivoted, rows = rows, common.save(labelled(rows.select("key", "node", "slot"), labels), "labelled")
+    common.drop(pivoted)
     apart = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
     rest = rows.join(apart.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -334,11 +343,16 @@ def near_duplicates(docs, words=4):
 
     named = labelled(nodes.select("node", "doc"), labels)
     least = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    named = named.join(least, "comp").select("node", "component_id")
-    out = base.select("doc_id", "n", F.expr("IF(n > 0 AND doc_id IS NOT NULL, node, NULL)").alias("node")).join(named, "node", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = common.save(named.join(least, "comp").select("node", "component_id", F.col("comp").alias("group")), "named")
+    common.drop(rows, nodes)
+    linked = F.expr("n > 0 AND doc_id IS NOT NULL")
+    some = base.where(linked).select("doc_id", "text_hash", "n", "node")
+    some = common.salted_join(some, named, "node", some.groupBy("node").count())
+    none = base.where(~F.coalesce(linked, F.lit(False))).select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"))
+    out = some.select(*none.columns).union(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "group", "text_hash")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op7_near_duplicates(spark, sf_dir):
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")

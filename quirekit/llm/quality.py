@@ -96,7 +96,7 @@ def _sums(waves):
 def fit(counted, labels, column="quality"):
     """The model of counted rows that carry a label."""
     spark = counted.sparkSession
-    rows = counted.join(rules.labelled(labels, column), "doc_id").orderBy(F.xxhash64("doc_id"), *docstats.COUNTS).limit(MAX_LABELLED)
+    rows = common.smallest(counted.join(rules.labelled(labels, column), "doc_id"), ["doc_id", *docstats.COUNTS], MAX_LABELLED)
     rows = common.save(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4))), "labelled")
     shares = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(shares.values())

@@ -23,7 +23,6 @@ not learned from.
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import common, rules
@@ -218,9 +217,10 @@ def _numbered(batches):
 def fit(docs, labels, column="toxic"):
     """The model of docs(doc_id, text, lang) that carry a label."""
     lab = rules.labelled(labels, column).join(docs.select("doc_id").distinct(), "doc_id")
+    sizes = {r.label: r["count"] for r in lab.groupBy("label").count().collect()}
     ids = []
     for label, most in ((0, MAX_GOOD), (1, MAX_BAD)):
-        few = lab.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+        few = common.smallest(lab.where(F.col("label") == label), ["doc_id"], most, sizes.get(label, 0)).collect()
         ids += [(r.doc_id, r.label) for r in few]
     shares = {x: sum(y == x for _, y in ids) for x in (0, 1)}
     if not all(shares.values()):
@@ -228,9 +228,17 @@ def fit(docs, labels, column="toxic"):
         return Model(prior=shares[1] / n if n else 0.0)
     chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, label int"))
     rows = docs.join(chosen, "doc_id").select("doc_id", "lang", "label", "text").mapInArrow(_numbered, "doc_id long, lang string, label int, numbers binary")
-    rows = common.save(rows, "numbered").withColumn("order", F.xxhash64("doc_id"))
-    before = F.sum(F.length("numbers") / 4).over(Window.orderBy("order", "numbers").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < MAX_WORDS).orderBy("order", "numbers").collect()
+    rows = common.save(rows.withColumn("key", F.xxhash64("doc_id", "numbers")).withColumn("order", F.xxhash64("doc_id")), "numbered")
+    # Sizes first: what is fetched is chosen before it is, so no more than MAX_WORDS words and one text reach the driver.
+    held, least = 0, None
+    for r in sorted(rows.select("order", "key", (F.length("numbers") / 4).alias("n")).collect()):
+        if held >= MAX_WORDS:
+            least = (r.order, r.key)
+            break
+        held += r.n
+    if least is not None:
+        rows = rows.where((F.col("order") < least[0]) | (F.col("order") == least[0]) & (F.col("key") < least[1]))
+    rows = sorted(rows.collect(), key=lambda r: (r.order, r.key))
     texts = [np.frombuffer(r.numbers, np.int32).astype(np.int64) for r in rows]
     y = np.array([r.label for r in rows])
     held = np.array([r.order % 5 == 0 for r in rows])

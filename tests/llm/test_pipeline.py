@@ -43,3 +43,33 @@ def test_stage_by_stage(spark):
     packed = seen["packing"]
     assert sum(r.size for r in packed) == sum(len(r.text.split()) for r in seen["secrets"])
     assert {r.doc_id for r in packed} == set(range(200))
+
+
+def test_near_duplicates_judge_rows_by_their_text(spark):
+    rng = random.Random(3)
+    one, two, three = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(3))
+    near = three.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, one), (5, one), (5, two), (5, two), (7, three), (7, near), (8, three), (9, None), (9, None), (9, ""), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _gone", "2 AS gone", "3 AS _n", "4 AS number", "5 AS ident", "6 AS code", "7 AS kept", "8 AS group", "map(1, 2) AS m")
+    out = corpus_pipeline.near_duplicates(spark, docs, None)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    keeper = {(7, three), (7, near)} & set(got)
+    assert len(keeper) == 1
+    assert got == sorted([(1, one), (5, two), *keeper, (9, None), (9, None), (9, ""), (None, one)], key=str)
+
+
+def test_stages_on_clashing_names_ties_and_empty_tables(spark):
+    rows, _ = corpus()
+    rows += [rows[0], rows[1], [5, "another text of five that is unlike all others " * 3, "en", "s", 0], [3000, "the " * 40_000, "en", "s", 0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ("_key", "_repeats", "_gone", "_n", "key", "repeats", "h", "n", "node", "seed", "first", "kept", "group", "salt", "score", "cluster", "size", "shard", "spans")
+    docs = docs.selectExpr("*", *[f"{i} AS {n}" for i, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), None)
+        assert none.count() == 0
+        docs_out = common.save(stage(spark, docs, None), name)
+        if name != "packing":
+            assert docs_out.columns == docs.columns and none.columns == docs.columns
+        docs = docs_out
+    assert docs.count() >= 200
