@@ -9,7 +9,9 @@ piece the expected number of its uses, summed over partitions in Spark.
 
 The fit takes, of each language, the ``MAX_DOCS`` documents of the smallest id
 hashes and all of their words; scoring reads every word of every text. Only
-text is an input of a prediction.
+text is an input of a prediction. The score is the share of the predicted language among all
+learned ones and none of them, which holds a text as likely as ``MARGIN`` less a letter than the
+language's own training words: what is in no learned language scores below one half.
 
 Words are runs of letters in lower case, marked at their start as the
 vocabulary marks them. Defined cases: a text that is null or without a letter is ``und`` with
@@ -32,6 +34,8 @@ MAX_DOCS = 800
 ROUNDS = 2
 #: Log-probability of a letter outside the vocabulary, the same in all languages.
 UNKNOWN = -14.0
+#: Log-probability a letter by which a text of no learned language falls short of a learned one.
+MARGIN = 1.5
 #: Added to each expected use, so no piece is impossible in a language.
 SMOOTH = 0.02
 CHUNK = 4 << 20
@@ -179,9 +183,9 @@ def word_logs(lookup, words, probs):
 
 
 def expected(lookup, words, counts, probs):
-    """Expected uses of each piece over all segmentations of words of one language."""
+    """Expected uses of each piece over all segmentations of words of one language, and the words' log-probability."""
     full = np.concatenate([probs, [0.0]])[:, None]
-    uses = np.zeros(len(full))
+    uses, total = np.zeros(len(full)), 0.0
     for part, letters, sizes in laid_out(words):
         ids = lattice(lookup, letters, sizes)
         n, width = ids[0].shape
@@ -192,6 +196,7 @@ def expected(lookup, words, counts, probs):
         back = np.full((width + 1, n), -np.inf)
         back[sizes, rows] = 0.0
         weight = counts[part]
+        total += float(weight @ last)
         for i in range(width, 0, -1):
             inside = i <= sizes
             for k in range(min(len(ids), i)):
@@ -203,7 +208,7 @@ def expected(lookup, words, counts, probs):
                     uses += np.bincount(piece[some], weight[some] * np.exp(log[i - k - 1][some] + step - last[some]), minlength=len(uses))
             alone = np.flatnonzero((ids[0][:, i - 1] < 0) & inside)
             back[i - 1][alone] = np.logaddexp(back[i - 1][alone], UNKNOWN + back[i][alone])
-    return uses[:-1]
+    return uses[:-1], total
 
 
 def _words(texts):
@@ -232,8 +237,11 @@ def _step(lookup, probs, langs):
             words, n = b.column("word").to_pylist(), b.column("n").to_numpy().astype(np.float64)
             for l in set(lang.tolist()):
                 at = np.flatnonzero(lang == l)
-                uses = expected(lookup, [words[i] for i in at.tolist()], n[at], probs[:, langs.index(l)])
-                total[l] = total.get(l, 0) + uses
+                some = [words[i] for i in at.tolist()]
+                uses, log = expected(lookup, some, n[at], probs[:, langs.index(l)])
+                # Two more numbers ride along: the words' log-probability and their letters, start signs included.
+                letters = float(n[at] @ np.array([len(w) + 1 for w in some]))
+                total[l] = total.get(l, 0) + np.concatenate([uses, [log, letters]])
         for l, uses in total.items():
             some = np.flatnonzero(uses)
             yield common.record(schema, [l] * len(some), some.astype(np.int32), uses[some])
@@ -242,7 +250,7 @@ def _step(lookup, probs, langs):
 
 
 def fit(docs, path):
-    """(languages, lookup, probabilities of pieces by language) of docs(doc_id, text, lang)."""
+    """(languages, lookup, probabilities of pieces by language, log-probability a letter of each) of docs(doc_id, text, lang)."""
     vocabulary = pieces(path)
     lookup = Lookup(vocabulary)
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
@@ -259,21 +267,23 @@ def fit(docs, path):
         rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
         ids = [(r.doc_id, r.lang) for r in few.withColumn("rank", rank).where(F.col("rank") <= MAX_DOCS).select("doc_id", "lang").collect()]
     if not ids:
-        return [], lookup, None
+        return [], lookup, None, None
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, lang string")
     some = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
     counted = some.mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counted = common.save(counted, "words")
+    # Rounds are all work and little data: as many tasks as there are cores, whatever the words' bytes.
+    counted = common.save(counted.repartition(max(8, docs.sparkSession.sparkContext.defaultParallelism), "word"), "words")
     # The first step takes pieces of one length as equally likely, longer ones as rarer than their letters together are.
     sizes = np.array([len(p) for p in vocabulary])
     probs = np.repeat((0.02 ** np.minimum(sizes, 3) / 10)[:, None], len(langs), axis=1)
     for _ in range(ROUNDS):
         rows = counted.mapInArrow(_step(lookup, probs, langs), "lang string, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).collect()
-        uses = np.full((len(vocabulary), len(langs)), SMOOTH)
+        uses = np.full((len(vocabulary) + 2, len(langs)), SMOOTH)
         for r in rows:
             uses[r.piece, langs.index(r.lang)] += r.uses
-        probs = uses / uses.sum(axis=0)
-    return langs, lookup, probs
+        probs = uses[:-2] / uses[:-2].sum(axis=0)
+    common.drop(counted)
+    return langs, lookup, probs, uses[-2] / uses[-1]
 
 
 def predict(docs, learn, path=None):
@@ -289,7 +299,7 @@ class Scorer:
     """Scores texts and remembers the words it has met; the memory is bounded and never changes a result."""
 
     def __init__(self, model):
-        self.langs, self.lookup, self.probs = model
+        self.langs, self.lookup, self.probs, self.usual = model
         self.known, self.logs = {}, np.zeros((0, len(self.langs)))
 
     def __call__(self, texts):
@@ -310,7 +320,13 @@ class Scorer:
         some = np.flatnonzero(sizes)
         total[some] = np.add.reduceat(self.logs[flat], (np.cumsum(sizes) - sizes)[some])
         best = total.argmax(axis=1)
-        sure = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        letters = np.zeros(len(split))
+        lengths = np.fromiter(map(len, chain.from_iterable(split)), np.int64, len(flat)) + 1
+        letters[some] = np.add.reduceat(lengths, (np.cumsum(sizes) - sizes)[some])
+        none = letters * (self.usual[best] - MARGIN)
+        every = np.concatenate([total, none[:, None]], axis=1)
+        top = total[np.arange(len(split)), best]
+        sure = 1 / np.exp(np.minimum(every - top[:, None], 700)).sum(axis=1)
         return [(langs[best[i]], float(sure[i])) if sizes[i] else ("und", 0.0) for i in range(len(split))]
 
 

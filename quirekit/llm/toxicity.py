@@ -6,20 +6,25 @@ several widths run over the whole text; each filter's largest response is
 kept (max pooling) and a logistic layer weighs them. Training is plain numpy:
 only the positions that won the pooling carry a gradient.
 
-Thresholds are set for each language on labelled rows that the training did
-not see, and scores are stretched so that every language's threshold becomes
-``CUT``. The language is guessed from the text alone, by the stems' counts in
-the training rows of each language; labels, lang, source and doc_id are no
-inputs of a score.
+``FOLDS`` networks are trained, each without one fold of the rows, in a task
+each; a text's logit is their mean. Every row has a logit of the network that did not see it, and
+on these thresholds are calibrated for each language: a logistic curve of one slope
+whose place is shifted by language, shifts shrunk where a language has few
+rows, so a thin language does not hang on a handful of scores. Scores are
+stretched so that every language's threshold becomes ``CUT``. The language is guessed from the text
+alone, by the stems' counts in the training rows of each language; labels,
+lang, source and doc_id are no inputs of a score.
 
 At most ``MAX_GOOD`` and ``MAX_BAD`` labelled rows, those of the smallest id
-hashes, take part, with their whole texts up to ``MAX_WORDS`` words together;
-four in five train, the rest set thresholds. Defined cases: a null text scores
+hashes, take part, with their whole texts up to ``MAX_WORDS`` words together. Defined cases: a null text scores
 as an empty one; without rows of both labels every score is the share of
-toxic ones (0 without any); null ids and labels other than 0 and 1 are
+toxic ones (0 without any); with too few for folds one network learns and
+calibrates on all; null ids and labels other than 0 and 1 are
 not learned from.
 """
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,6 +38,9 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 STEM = 4
 STEPS, BATCH, RATE = 600, 48, 0.03
+FOLDS = 3
+#: Penalty on a language's shift: so many rows' worth of doubt.
+SHRINK = 0.5
 #: Passes over the training rows: as many as STEPS takes, within these bounds.
 EPOCHS = (6, 40)
 MAX_GOOD, MAX_BAD, MAX_WORDS = 4000, 2500, 6_000_000
@@ -183,27 +191,44 @@ class Languages:
         return np.array([int(self.logs[d % BUCKETS].sum(axis=0).argmax()) if len(d) else 0 for d in docs], np.int64)
 
 
-def threshold(p, labels):
-    """The middle of the best gap between toxic and clean scores; clean ones weigh more."""
-    order = np.argsort(p)
-    s, y = p[order], labels[order]
-    wrong = np.concatenate([[0], np.cumsum(y)]) + 2.0 * np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
-    edges = np.concatenate([[0.0], s, [1.0]])
-    best = np.flatnonzero(wrong == wrong.min())
-    i = best[np.argmax(edges[best + 1] - edges[best])]
-    return float(np.clip((edges[i] + edges[i + 1]) / 2, 0.02, 0.98))
+def calibrated(z, labels, langs, n):
+    """(slope, shift of each of n languages) of the logistic curve of logits z, by Newton steps."""
+    w = np.concatenate([[1 / max(1e-3, float(np.std(z))), 0.0], np.zeros(n)])
+    x = np.concatenate([z[:, None], np.ones((len(z), 1)), np.eye(n)[langs]], axis=1)
+    penalty = np.concatenate([[1e-3, 1e-3], np.full(n, SHRINK)])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - labels) + penalty * w)
+        w -= np.clip(step, -3, 3)
+        if np.abs(step).max() < 1e-7:
+            break
+    return max(1e-3, w[0]), w[1] + w[2:]
 
 
 class Model:
-    def __init__(self, net=None, languages=None, cuts=None, prior=0.0):
-        self.net, self.languages, self.cuts, self.prior = net, languages, cuts, prior
+    def __init__(self, nets=(), languages=None, slope=1.0, shifts=None, prior=0.0):
+        self.nets, self.languages, self.slope, self.shifts, self.prior = nets, languages, slope, shifts, prior
 
     def __call__(self, docs):
-        if self.net is None:
+        if not self.nets:
             return np.full(len(docs), self.prior)
-        p = 1 / (1 + np.exp(-np.clip(self.net.logits(docs), -30, 30).astype(np.float64)))
-        t = self.cuts[self.languages(docs)]
-        return np.where(p < t, CUT * p / t, CUT + (1 - CUT) * (p - t) / (1 - t))
+        z = sum(net.logits(docs).astype(np.float64) for net in self.nets) / len(self.nets)
+        p = 1 / (1 + np.exp(-np.clip(self.slope * z + self.shifts[self.languages(docs)], -30, 30)))
+        return np.where(p < 0.5, CUT * p / 0.5, CUT + (1 - CUT) * (p - 0.5) / 0.5)
+
+
+def _trained(sent):
+    schema = pa.schema([("fold", pa.int64()), ("net", pa.binary()), ("logits", pa.binary())])
+
+    def run(batches):
+        texts, y, fold = sent.value
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                train, test = (np.flatnonzero(fold != k), np.flatnonzero(fold == k)) if (fold != k).any() else (np.arange(len(y)),) * 2
+                net = Net().train([texts[i].astype(np.int64) for i in train], y[train])
+                yield common.record(schema, [k], [pickle.dumps(vars(net))], [net.logits([texts[i].astype(np.int64) for i in test]).astype(np.float64).tobytes()])
+
+    return run
 
 
 def _numbered(batches):
@@ -241,23 +266,22 @@ def fit(docs, labels, column="toxic"):
     rows = sorted(rows.collect(), key=lambda r: (r.order, r.key))
     texts = [np.frombuffer(r.numbers, np.int32).astype(np.int64) for r in rows]
     y = np.array([r.label for r in rows])
-    held = np.array([r.order % 5 == 0 for r in rows])
-    if len(set(y[~held].tolist())) < 2:
-        held[:] = False
-    train = np.flatnonzero(~held)
-    net = Net().train([texts[i] for i in train], y[train])
-    languages = Languages([texts[i] for i in train], [rows[i].lang for i in train])
-    model = Model(net, languages, np.full(max(1, len(languages.names)), 0.5), shares[1] / sum(shares.values()))
-    test = np.flatnonzero(held) if held.any() and len(set(y[held].tolist())) == 2 else train
-    some = [texts[i] for i in test]
-    p = 1 / (1 + np.exp(-np.clip(net.logits(some), -30, 30).astype(np.float64)))
-    guess = languages(some)
-    model.cuts[:] = threshold(p, y[test])
-    for k in range(len(model.cuts)):
-        mine = guess == k
-        if y[test][mine].sum() >= 8 and (1 - y[test][mine]).sum() >= 8:
-            model.cuts[k] = threshold(p[mine], y[test][mine])
-    return model
+    spark = docs.sparkSession
+    fold = np.array([r.order % FOLDS for r in rows])
+    if any(len(set(y[fold != k].tolist())) < 2 for k in range(FOLDS)):
+        fold[:] = 0
+    folds = sorted(set(fold.tolist()))
+    sent = spark.sparkContext.broadcast(([x.astype(np.int32) for x in texts], y, fold))
+    done = spark.range(0, len(folds), 1, len(folds)).mapInArrow(_trained(sent), "fold long, net binary, logits binary").collect()
+    sent.destroy()
+    nets, z = [], np.zeros(len(y))
+    for r in sorted(done, key=lambda r: r.fold):
+        nets.append(Net.__new__(Net))
+        vars(nets[-1]).update(pickle.loads(r.net))
+        z[fold == r.fold] = np.frombuffer(r.logits, np.float64)
+    languages = Languages(texts, [r.lang for r in rows])
+    slope, shifts = calibrated(z, y, languages(texts), max(1, len(languages.names)))
+    return Model(nets, languages, slope, shifts, shares[1] / sum(shares.values()))
 
 
 def classify(docs, labels, learn, column="toxic"):

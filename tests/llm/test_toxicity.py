@@ -14,6 +14,12 @@ def test_held_out(spark):
     rows = got[got.held_out & got.doc_id.isin(list(truth))]
     y = rows.doc_id.map(truth).to_numpy()
     assert (y == rows.predicted.to_numpy()).mean() > 0.97
+    # Thin languages count as well: toxic documents caught in each.
+    lang = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{AT}/documents.parquet'").fetchall())
+    toxic = rows[y == 1]
+    caught = toxic.predicted.groupby(toxic.doc_id.map(lang)).mean()
+    assert len(caught) == 4 and caught.min() > 0.6 and toxic.predicted.mean() > 0.85
+    assert rows.predicted[y == 0].mean() < 0.02
 
 
 def test_learns_stems_and_single_words():
@@ -46,5 +52,13 @@ def test_edges(spark):
     assert toxicity.classify(df.limit(0), labels, "true").count() == 0
 
 
-def test_threshold():
-    assert 0.3 < toxicity.threshold(np.array([0.1, 0.3, 0.8, 0.9]), np.array([0, 0, 1, 1])) < 0.8
+def test_calibration_shifts_by_language_and_shrinks():
+    rng = np.random.RandomState(1)
+    n = 3000
+    langs = (rng.rand(n) < 0.3).astype(int)
+    z = rng.normal(0, 3, n)
+    y = (rng.rand(n) < 1 / (1 + np.exp(-(1.5 * z - 1 - 2 * langs)))).astype(int)
+    slope, shifts = toxicity.calibrated(z, y, langs, 3)
+    assert abs(slope - 1.5) < 0.25 and abs(shifts[0] + 1) < 0.4 and abs(shifts[1] + 3) < 0.6
+    # A language never met has the place common to all.
+    assert min(shifts[:2]) < shifts[2] < max(shifts[:2]) + 1
