@@ -34,15 +34,29 @@ def language(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Keep one document, that of the smallest doc_id, of each group of near copies."""
-    found = neardup.near_duplicates(docs, words=SHINGLE)
-    gone = common.save(found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    out = docs.join(passages.small(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if ids.limit(1).count():
-        # Rows that repeat a doc_id: one of each id stays, the smallest text.
-        order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.monotonically_increasing_id()))).orderBy("text")
-        out = out.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """Keep one document, that of the smallest doc_id, of each group of near copies.
+
+    Rows are judged by doc_id and text together, so a doc_id that repeats with
+    another text loses nothing; of rows of one doc_id that are near copies the
+    one of the smallest text hash stays, and of rows equal in doc_id and text one.
+    Rows without a word or doc_id stay as they are.
+    """
+    found = common.save(neardup.near_duplicates(docs, words=SHINGLE), "groups")
+    stay = found.where("kept AND group IS NOT NULL")
+    twins = common.save(stay.groupBy("group").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least < most").select("group", "least"), "twins")
+    twins = common.salted_join(stay, twins, "group").where("text_hash > least")
+    ident, code, number = common.fresh(docs.columns, "ident", "code", "number")
+    gone = found.where("NOT kept").select("doc_id", "text_hash").union(twins.select("doc_id", "text_hash")).distinct().toDF(ident, code)
+    gone = common.save(gone, "gone")
+    again = common.save(stay.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash").toDF(ident, code), "again")
+    same = (F.col("doc_id").cast("long") == F.col(ident)) & (F.xxhash64(F.col("text").cast("string")) == F.col(code))
+    out = docs.join(passages.small(gone), same, "left_anti")
+    if again.limit(1).count():
+        # One of equal rows: Spark keeps the first of each partition before it shuffles them.
+        order = [c for c in docs.columns if docs.schema[c].dataType.simpleString().split("<")[0] not in ("map", "variant")]
+        rows = out.join(passages.small(again), same, "left_semi")
+        rows = rows.withColumn(number, F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.xxhash64(*order)))).where(F.col(number) == 1)
+        out = out.join(passages.small(again), same, "left_anti").union(rows.drop(number))
     return out.select(*docs.columns)
 
 
