@@ -14,8 +14,8 @@ def col(x):
 
 
 def strip(x):
-    """Without white space at both ends, as Unicode has it."""
-    return F.regexp_replace(col(x), rf"\A{WS}+|{WS}+\z", "")
+    """Without white space at both ends, as Unicode has it. A run inside is looked at once, from its start."""
+    return F.regexp_replace(col(x), rf"\A{WS}++|(?<!{WS}){WS}++\z", "")
 
 
 def is_blank(x):

@@ -116,7 +116,7 @@ def short_lines(x):
 
 def english_breaks(x):
     """A line break inside English goes, with the white space around it."""
-    return F.regexp_replace(col(x), rf"(?<=[A-Za-z]){WS}*\n{WS}*(?=[A-Za-z])", "")
+    return F.regexp_replace(col(x), rf"(?<=[A-Za-z])(?=[{S}&&[^\n]]*+\n){WS}++(?=[A-Za-z])", "")
 
 
 def english_gaps(x):
@@ -186,7 +186,7 @@ def guardrail(before, after):
     """array<struct<line, ratio>> of lines, matched by place, that changed beyond the limit."""
     old, new = F.split(col(before), "\n", -1), F.split(col(after), "\n", -1)
     pairs = F.slice(F.arrays_zip(old.alias("o"), new.alias("n")), F.lit(1), F.least(F.size(old), F.size(new)))
-    rated = F.transform(pairs, lambda p, i: F.struct(i.alias("line"), F.when(chars.is_blank(p["o"]), 0.0).otherwise(change_count(p["o"], p["n"]) / F.length(p["o"])).alias("ratio")))
+    rated = F.transform(pairs, lambda p, i: F.struct(i.alias("line"), F.when((p["o"] == p["n"]) | chars.is_blank(p["o"]), 0.0).otherwise(change_count(p["o"], p["n"]) / F.length(p["o"])).alias("ratio")))
     return F.filter(rated, lambda p: p["ratio"] > fixed.CHANGE_LIMIT)
 
 

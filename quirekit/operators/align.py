@@ -1,10 +1,17 @@
-"""Alignment of a true and a read text, and how well each class of characters was read."""
+"""Alignment of a true and a read text, and how well each class of characters was read.
 
+Characters are code points. A browser's view that counts UTF-16 units differs
+only where characters beyond U+FFFF are replaced by each other: there a pair
+that shares its first unit is half right.
+"""
+
+import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chars, fixed
@@ -71,48 +78,82 @@ def edit_script(truth, read, blank_equal=False):
     return out[::-1]
 
 
-def _scripts(blank_equal):
-    @F.pandas_udf(OPS)
-    def scripts(truth: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in truth:
-            yield pd.Series([None if x is None or y is None else [{"op": o, "gt": g, "ocr": r} for o, g, r in edit_script(x, y, blank_equal)] for x, y in zip(a, b)])
-
-    return scripts
+_KINDS = tuple((name, re.compile(f"[{inside}]")) for name, inside in (("korean", chars.HANGUL), ("english", "a-zA-Z"), ("digit", "0-9"), ("chinese", fixed.HAN)))
 
 
-def with_script(pairs: DataFrame, truth="truth", read="extracted", out="ops", blank_equal=False) -> DataFrame:
-    """Adds the edit script of each pair; null where a text is null. ``blank_equal``: any two blanks match."""
-    return pairs.withColumn(out, _scripts(blank_equal)(F.col(truth), F.col(read)))
+@functools.lru_cache(maxsize=100_000)
+def _kind(c):
+    """The class of one character."""
+    return next((name for name, inside in _KINDS if inside.fullmatch(c)), "other")
 
 
-def class_tally(scripts: DataFrame, key, ops="ops") -> DataFrame:
-    """key, class, gt_count, correct, wrong: one row for each of the four classes of each key.
+def tally(script):
+    """{class: [characters, right, wrong]} of a script.
 
     A character that was only read counts for the class of the next true
     character, else of the one before, else for its own.
     """
-    keys = [key] if isinstance(key, str) else list(key)
-    rows = scripts.select(*keys, F.posexplode_outer(ops).alias("pos", "o")).select(*keys, "pos", "o.*")
-    order = Window.partitionBy(*keys).orderBy("pos")
-    true = F.when(F.col("op") != "i", F.col("gt"))
-    rows = rows.withColumn("near", F.coalesce(F.first(true, True).over(order.rowsBetween(1, Window.unboundedFollowing)), F.last(true, True).over(order.rowsBetween(Window.unboundedPreceding, -1))))
-    own, near = chars.char_class("ocr"), F.coalesce(chars.char_class("near"), F.lit("other"))
-    belongs = F.when(F.col("op") != "i", chars.char_class("gt")).when(own == "other", "other").when(near != "other", near).otherwise(own)
-    rows = rows.withColumn("class", belongs)
-    of = lambda c, cond=F.lit(True): F.count(F.when((F.col("class") == c) & cond, 1))
-    each = [F.struct(F.lit(c).alias("class"), of(c).alias("gt_count"), of(c, F.col("op") == "m").alias("correct"), of(c, F.col("op") != "m").alias("wrong")) for c in CLASSES]
-    return rows.groupBy(*keys).agg(F.array(*each).alias("t")).select(*keys, F.inline("t"))
+    out = {c: [0, 0, 0] for c in CLASSES}
+    near, after = [None] * len(script), None
+    for i in range(len(script) - 1, -1, -1):
+        near[i] = after
+        if script[i][0] != "i":
+            after = script[i][1]
+    before = None
+    for (op, gt, read), then in zip(script, near):
+        if op != "i":
+            before, kind = gt, _kind(gt)
+        else:
+            kind = _kind(read)
+            beside = then if then is not None else before
+            if kind != "other" and beside is not None and _kind(beside) != "other":
+                kind = _kind(beside)
+        if kind in out:
+            mine = out[kind]
+            mine[0] += 1
+            mine[1 if op == "m" else 2] += 1
+    return out
+
+
+def _scripts(blank_equal, ops=True):
+    """A function of (truth, read): struct<ops, tally>; ops null if not asked for or where a text is, the tally then all 0."""
+    kind = f"struct<ops:{OPS},tally:array<struct<gt_count:bigint,correct:bigint,wrong:bigint>>>"
+
+    def one(x, y):
+        if x is None or y is None:
+            return {"ops": None, "tally": [dict.fromkeys(("gt_count", "correct", "wrong"), 0)] * len(CLASSES)}
+        script = edit_script(x, y, blank_equal)
+        counts = [dict(zip(("gt_count", "correct", "wrong"), v)) for v in tally(script).values()]
+        return {"ops": [{"op": o, "gt": g, "ocr": r} for o, g, r in script] if ops else None, "tally": counts}
+
+    @F.pandas_udf(kind)
+    def scripts(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for a, b in pairs:
+            yield pd.DataFrame([one(x, y) for x, y in zip(a, b)], columns=["ops", "tally"])
+
+    return scripts
+
+
+def with_script(pairs: DataFrame, truth="truth", read="extracted", out="ops", blank_equal=False) -> DataFrame:
+    """Adds the edit script of each pair; null where a text is null. ``blank_equal``: any two blanks match."""
+    return pairs.withColumn(out, _scripts(blank_equal)(F.col(truth), F.col(read))["ops"])
+
 
+def rates(tallies="tally"):
+    """For each class a struct of accuracy, correct, wrong and gt_count, from the counts beside a script."""
+    def of(i):
+        t = F.col(tallies)[i]
+        accuracy = F.when(t["gt_count"] > 0, F.bround(t["correct"] / t["gt_count"] * 100, 1))
+        return F.struct(accuracy.alias("accuracy"), t["correct"].alias("correct"), t["wrong"].alias("wrong"), t["gt_count"].alias("gt_count"))
 
-def rate(correct, count):
-    """Per cent with one decimal, half to even; null where there is nothing to read."""
-    return F.when(F.col(count) > 0, F.bround(F.col(correct) / F.col(count) * 100, 1))
+    return [of(i).alias(c) for i, c in enumerate(CLASSES)]
 
 
 def recognition_rates(pairs: DataFrame, key, truth="truth", read="extracted", blank_equal=False) -> DataFrame:
-    """key, and for each class a struct of accuracy, correct, wrong and gt_count."""
+    """key, and for each class a struct of accuracy, correct, wrong and gt_count: one row for each pair, counted where its script is made."""
     keys = [key] if isinstance(key, str) else list(key)
-    return recognition_from(with_script(pairs.select(*keys, truth, read), truth, read, blank_equal=blank_equal), keys)
+    made = pairs.select(*keys, _scripts(blank_equal, ops=False)(F.col(truth), F.col(read))["tally"].alias("tally"))
+    return made.select(*keys, *rates())
 
 
 def report(rates: DataFrame, out="report") -> DataFrame:
@@ -163,14 +204,9 @@ def compare(pages: DataFrame, truths: DataFrame, key="doc_id", page="page", text
     """Pages beside their truth: rates, report and HTML. A blank truth gives an error and nothing else."""
     rows = pages.join(truths.select(key, truth), key)
     rows = rows.withColumn("truth_part", truth_of_page(truth, page)).withColumn("error", F.when(F.coalesce(chars.is_blank(truth), F.lit(True)), "no truth"))
-    good = with_script(rows.where("error IS NULL").select(key, page, "truth_part", F.coalesce(F.col(text), F.lit("")).alias("_read")), "truth_part", "_read", blank_equal=True)
-    rates = report(recognition_from(good, [key, page]))
-    html = good.select(key, page, diff_html().alias("html"))
-    return rows.join(rates, [key, page], "left").join(html, [key, page], "left")
-
-
-def recognition_from(scripts, keys):
-    """Rates of scripts that are there already."""
-    tally = class_tally(scripts, keys).withColumn("accuracy", rate("correct", "gt_count"))
-    value = F.struct("accuracy", "correct", "wrong", "gt_count")
-    return tally.groupBy(*keys).agg(*[F.first(F.when(F.col("class") == c, value), True).alias(c) for c in CLASSES])
+    read = F.when(F.col("error").isNull(), F.coalesce(F.col(text), F.lit("")))
+    rows = rows.withColumn("_s", _scripts(True)(F.col("truth_part"), read))
+    rows = rows.withColumn("tally", F.col("_s.tally")).withColumn("html", diff_html("_s.ops")).drop("_s")
+    fine = F.col("error").isNull()
+    rows = rows.select("*", *[F.when(fine, x).alias(c) for x, c in zip(rates(), CLASSES)])
+    return report(rows).withColumn("report", F.when(fine, F.col("report"))).drop("tally")

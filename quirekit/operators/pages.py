@@ -1,6 +1,6 @@
 """Pages: which way a page's text is taken, and the events that tell of it."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chars, fixed, rules
@@ -31,12 +31,12 @@ def extracted(pages: DataFrame, recognised=None, layer="layer_text", error="erro
     names = pages.columns
     pages = pages if error in names else pages.withColumn(error, F.lit(None).cast("string"))
     pages = routed(pages)
-    failed = pages.where(F.col(error).isNotNull()).withColumn("text", F.lit("")).withColumn("method", F.lit("error"))
-    fine = pages.where(F.col(error).isNull())
-    direct = fine.where("NOT use_ocr").withColumn("text", chars.strip(F.coalesce(F.col(layer), F.lit("")))).withColumn("method", F.lit("direct"))
-    out = failed.unionByName(direct)
+    # One pass over what needs no engine; only the rest reaches it.
+    bad = F.col(error).isNotNull()
+    out = pages.where(bad | ~F.col("use_ocr"))
+    out = out.withColumn("text", F.when(bad, "").otherwise(chars.strip(F.coalesce(F.col(layer), F.lit(""))))).withColumn("method", F.when(bad, "error").otherwise("direct"))
     if recognised is not None:
-        read = recognised(fine.where("use_ocr")).withColumnRenamed("text", "_raw")
+        read = recognised(pages.where(~bad & F.col("use_ocr"))).withColumnRenamed("text", "_raw")
         read = rules.correct(read, "_raw").withColumn("text", F.coalesce("corrected", F.lit(""))).withColumn("method", F.lit("ocr"))
         out = out.unionByName(read.select(*out.columns))
     return out.withColumn(error, F.substring(error, 1, fixed.LOG_LETTERS)).withColumn("dpi", F.when(F.col("method") == "ocr", fixed.DPI))
@@ -70,15 +70,20 @@ def events(pages: DataFrame, key="doc_id", page="page") -> DataFrame:
 
     A start, then for each page a start and a result or error, then done.
     """
-    total = F.size("p").alias("total")
-    whole = pages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(page, F.coalesce("text", F.lit("")).alias("text"), "method", "dpi", "error"))).alias("p"))
-    base = whole.select(key, total, "p")
-    start = base.select(key, F.lit(0).alias("seq"), F.to_json(F.struct(F.lit(0).alias("page"), "total", F.lit("started").alias("method"), F.lit(fixed.DPI).alias("dpi"), F.lit(fixed.PAGE_MODE).alias("psm"))).alias("event"))
-    each = base.select(key, "total", F.posexplode("p").alias("i", "q")).select(key, "total", "i", "q.*")
-    begin = each.select(key, (F.col("i") * 2 + 1).alias("seq"), F.to_json(F.struct(F.col(page).alias("page"), "total", F.lit("started").alias("method"))).alias("event"))
-    result = each.select(key, (F.col("i") * 2 + 2).alias("seq"), page_event(page).alias("event"))
+    place = Window.partitionBy(key).orderBy(page, F.coalesce("text", F.lit("")), "method", "dpi", "error")
+    totals = pages.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("total"))
+    # Pages are ranked, not gathered: an event needs its own page and the document's count.
+    each = pages.select(key, page, F.coalesce("text", F.lit("")).alias("text"), "method", "dpi", "error", F.row_number().over(place).alias("i")).join(totals, key)
+    start = F.to_json(F.struct(F.lit(0).alias("page"), "total", F.lit("started").alias("method"), F.lit(fixed.DPI).alias("dpi"), F.lit(fixed.PAGE_MODE).alias("psm")))
+    begin = F.to_json(F.struct(F.col(page).alias("page"), "total", F.lit("started").alias("method")))
+
+    def event(seq, made):
+        return F.struct(seq.cast("int").alias("seq"), made.alias("event"))
+
+    pair = F.array(event(F.col("i") * 2 - 1, begin), event(F.col("i") * 2, page_event(page)))
+    some = F.when(F.col("i") == 1, F.concat(F.array(event(F.lit(0), start)), pair)).otherwise(pair)
     last = documents(pages, key, page).select(key, (F.col("total") * 2 + 1).alias("seq"), done_event().alias("event"))
-    return start.unionAll(begin).unionAll(result).unionAll(last)
+    return each.select(key, F.inline(some)).unionAll(last)
 
 
 def progress(page="page", total="total"):

@@ -162,19 +162,15 @@ def upload_checks(spark, sf_dir):
 
 # Text rules, one query for each.
 
-text_query(
-    "noise_lines",
-    [(". ", ".\n=—|\n  - · -\n\n")],
-    rules.drop_noise_lines,
-    r"array_to_string(list_filter(string_split(regexp_replace({t}, '\n$', ''), chr(10)), lambda s: NOT regexp_full_match(s, '\s*[=—|\-· \t]+\s*') OR regexp_full_match(s, '\s*')), chr(10))",
-)
-text_query("broken_syllables", [(" the ", " 경\n우  를 ")], rules.join_syllables, "replace({t}, '경' || chr(10) || '우', '경우')")
-text_query(
-    "digit_fixes",
-    [("555", "5O5I5"), (". ", ".\n7.")],
-    rules.fix_digits,
-    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '([0-9])O([0-9])', '\10\2', 'g'), '([0-9])O([0-9])', '\10\2', 'g'), '([0-9])I([0-9])', '\11\2', 'g'), '([0-9])I([0-9])', '\11\2', 'g'), '(?m)^7\.', '1.', 'g')",
+_NOISE = r"array_to_string(list_filter(string_split(regexp_replace({t}, '\n$', ''), chr(10)), lambda s: NOT regexp_full_match(s, '\s*[=—|\-· \t]+\s*') OR regexp_full_match(s, '\s*')), chr(10))"
+text_query("noise_lines", [(". ", ".\n=—|\n  - · -\n\n")], rules.drop_noise_lines, _NOISE)
+# Equal syllables stay apart: their break is set aside before the others are joined.
+_JOIN = r"replace(regexp_replace(replace({t}, '스' || chr(10) || '스', '스§스'), '([가-힣])(?:\n|\s{2,})([가-힣])', '\1\2', 'g'), '스§스', '스' || chr(10) || '스')"
+text_query("broken_syllables", [(" the ", " 경\n우  를 "), (". ", ". 스\n스 둘   셋 "), (", ", ", 하나\n  둘 ")], rules.join_syllables, _JOIN)
+_DIGITS = (
+    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '([0-9])O([0-9])', '\10\2', 'g'), '([0-9])O([0-9])', '\10\2', 'g'), '([0-9])I([0-9])', '\11\2', 'g'), '([0-9])I([0-9])', '\11\2', 'g'), '(?m)^7\.', '1.', 'g')"
 )
+text_query("digit_fixes", [("555", "5O5I5"), (". ", ".\n7.")], rules.fix_digits, _DIGITS)
 
 
 def _typo_sql(t):
@@ -188,58 +184,136 @@ text_query("composed_characters", [("é", "é"), (" the ", " 한글 "), ("ü", "
 
 _DOTS = r"regexp_replace({}, '([가-힣A-Za-z0-9])\s*[·∙]\s*([가-힣A-Za-z0-9])', '\1 \2', 'g')"
 text_query("middle_dots", [(" and ", " · "), (" a ", "∙a\n· ")], rules.middle_dots, _DOTS.format(_DOTS.format("{t}")))
-text_query("bullet_lines", [(". ", ".\n • \n∙\n• x\n")], rules.bullet_lines, r"array_to_string(list_filter(string_split({t}, chr(10)), lambda s: NOT regexp_full_match(s, '\s*[·∙•]\s*')), chr(10))")
-text_query("short_line_runs", [(". ", ".\n스\n 스로 \n기억\n")], rules.short_lines, "replace({t}, '스' || chr(10) || ' 스로 ' || chr(10) || '기억' || chr(10), '스스로기억' || chr(10))")
+_BULLETS = r"array_to_string(list_filter(string_split({t}, chr(10)), lambda s: NOT regexp_full_match(s, '\s*[·∙•]\s*')), chr(10))"
+text_query("bullet_lines", [(". ", ".\n • \n∙\n• x\n")], rules.bullet_lines, _BULLETS)
+_SHORT = r"""(SELECT array_to_string(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i = 1 OR f[i - 1] AND f[i] THEN '' ELSE chr(10) END
+    || CASE WHEN f[i] AND (coalesce(f[i - 1], false) OR coalesce(f[i + 1], false)) THEN regexp_replace(l[i], '\s+', '', 'g') ELSE l[i] END), '')
+    FROM (SELECT l, list_transform(l, lambda s: regexp_full_match(s, '\s*[가-힣]{1,2}\s*')) AS f FROM (SELECT string_split({t}, chr(10)) AS l)))"""
+text_query("short_line_runs", [(". ", ".\n스\n 스로 \n기억\n"), (", ", ",\n가나\n둘셋넷\n다\n "), (" and ", "\n라\n\n마\n바\n")], rules.short_lines, _SHORT)
 
 _BREAKS = r"regexp_replace({}, '([A-Za-z])\s*\n\s*([A-Za-z])', '\1\2', 'g')"
 text_query("english_breaks", [(" a ", " \n a\nb\n "), (".\n", "\n")], rules.english_breaks, _BREAKS.format(_BREAKS.format("{t}")))
-text_query(
-    "english_gaps",
-    [],
-    rules.english_gaps,
+_GAPS = (
     r"""(SELECT array_to_string(list_transform(range(1, len(tok) + 1), lambda i: CASE WHEN i = 1 THEN tok[1]
         WHEN regexp_full_match(tok[i - 1], '[A-Za-z\-]*[A-Za-z]') AND regexp_full_match(tok[i], '[A-Za-z\-]{1,3}|[a-z][A-Za-z\-]*') THEN tok[i]
-        ELSE sep[i - 1] || tok[i] END), '') FROM (SELECT string_split_regex({t}, '\s+') AS tok, regexp_extract_all({t}, '\s+') AS sep))""",
+        ELSE sep[i - 1] || tok[i] END), '') FROM (SELECT string_split_regex({t}, '\s+') AS tok, regexp_extract_all({t}, '\s+') AS sep))"""
 )
+text_query("english_gaps", [], rules.english_gaps, _GAPS)
 _ACRONYM = "CASE {x} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in fixed.PAREN_ACRONYMS.items()) + " ELSE {x} END"
 _INNER = r"regexp_replace(regexp_replace(replace(regexp_replace(substr(x, 2, length(x) - 2), '\s+', '', 'g'), '|', 'I'), '0([A-Za-z])', 'O\1', 'g'), '([A-Za-z])0', '\1O', 'g')"
-text_query(
-    "parentheses",
-    [(" the ", " (L\nL e\nMm) "), (" and ", " (P|0 I) (c0 de (Abc) ")],
-    rules.parentheses,
+_PARENS = (
     r"""(SELECT array_to_string(list_transform(range(1, len(o) + 1), lambda i: o[i] || coalesce(n[i], '')), '') FROM (SELECT o,
         list_transform(list_transform(list_transform(v, lambda x: """
     + _INNER
     + "), lambda x: "
     + _ACRONYM.replace("{x}", "x")
     + r"""), lambda x: '(' || CASE WHEN regexp_full_match(x, '[A-Za-z]{3,}') AND length(regexp_replace(x, '[A-Z]', '', 'g')) <= 1 THEN upper(x) ELSE x END || ')') AS n
-        FROM (SELECT string_split_regex({t}, '\([^()]*\)') AS o, regexp_extract_all({t}, '\([^()]*\)') AS v)))""",
+        FROM (SELECT string_split_regex({t}, '\([^()]*\)') AS o, regexp_extract_all({t}, '\([^()]*\)') AS v)))"""
 )
-text_query("bar_for_ai", [(". ", ": | 모델. "), (", ", ":\n|모델, ")], rules.bar_for_ai, r"regexp_replace({t}, ':\s*\|(\s*모델)', ': AI\1', 'g')")
+text_query("parentheses", [(" the ", " (L\nL e\nMm) "), (" and ", " (P|0 I) (c0 de (Abc) ")], rules.parentheses, _PARENS)
+_BAR = r"regexp_replace({t}, ':\s*\|(\s*모델)', ': AI\1', 'g')"
+text_query("bar_for_ai", [(". ", ": | 모델. "), (", ", ":\n|모델, ")], rules.bar_for_ai, _BAR)
 _TOKEN = r"CASE WHEN length(regexp_replace(w, '[^\p{L}\p{N}]', '', 'g')) / length(w) >= 0.6 THEN regexp_replace(regexp_replace(replace(w, '·', ''), '([A-Za-z])\|([A-Za-z])', '\1I\2', 'g'), '([A-Za-z])\|([A-Za-z])', '\1I\2', 'g') ELSE w END"
-text_query(
-    "english_tokens",
-    [("th", "t|h"), ("in", "i·n")],
-    rules.english_tokens,
-    r"array_to_string(list_transform(string_split({t}, chr(10)), lambda s: array_to_string(list_transform(list_filter(string_split_regex(s, '\s+'), lambda w: w <> ''), lambda w: " + _TOKEN + "), ' ')), chr(10))",
+_TOKENS = r"array_to_string(list_transform(string_split({t}, chr(10)), lambda s: array_to_string(list_transform(list_filter(string_split_regex(s, '\s+'), lambda w: w <> ''), lambda w: " + _TOKEN + "), ' ')), chr(10))"
+text_query("english_tokens", [("th", "t|h"), ("in", "i·n")], rules.english_tokens, _TOKENS)
+
+
+# The whole chain. The statement goes through it rule by rule, in the order and with the ids that are fixed.
+
+_CHAIN = (
+    ("nfc", "nfc_normalize({t})"),
+    ("space_dot_fix", _DOTS.replace("{}", _DOTS.replace("{}", "{t}"))),
+    ("bullet_remove", _BULLETS),
+    ("kr_kr_merge", _SHORT),
+    ("en_en_break_merge", _BREAKS.replace("{}", _BREAKS.replace("{}", "{t}"))),
+    ("en_en_space_merge", _GAPS),
+    ("paren_fix", _PARENS),
+    ("pipe_to_ai", _BAR),
+    ("ocr_similar_en", _TOKENS),
 )
+_STRIP = r"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
+
+
+def steps_sql(source, steps, first="c0", prefix="c"):
+    """CTEs s1, s2, ... that add a column for each step's text; ``source`` has the column ``first``."""
+    out, at, column = [], source, first
+    for i, sql in enumerate(steps, 1):
+        out.append(f"{prefix}s{i} AS (SELECT *, {sql.replace('{t}', column)} AS {prefix}{i} FROM {at})")
+        at, column = f"{prefix}s{i}", f"{prefix}{i}"
+    return ",\n".join(out), at, column
+
 
+def flags_sql(old, new):
+    """The flags of lines that changed too much, and of lines won or lost."""
+    differ = "len(list_filter(list_zip(string_split(o[i], ''), string_split(n[i], '')), lambda z: z[1] <> z[2]))"
+    rated = f"CASE WHEN o[i] = n[i] OR trim(o[i]) = '' THEN 0.0 ELSE (CASE WHEN n[i] = '' THEN 0 ELSE {differ} END + abs(length(o[i]) - length(n[i]))) / length(o[i]) END"
+    lines = f"list_filter(list_transform(range(1, least(len(o), len(n)) + 1), lambda i: {{'line': i - 1, 'ratio': {rated}}}), lambda x: x.ratio > 0.05)"
+    told = f"list_transform({lines}, lambda x: 'line_' || x.line || ': change_ratio=' || printf('%.2f', x.ratio * 100) || '% > 0.05')"
+    return f"(SELECT {told} || CASE WHEN len(o) <> len(n) THEN ['guardrail: line_count_changed'] ELSE [] END FROM (SELECT string_split({old}, chr(10)) AS o, string_split({new}, chr(10)) AS n))"
 
-@query("rule_catalogue")
+
+def repair_sql(source, first="c0", prefix="r"):
+    """CTEs of the whole repair of a column: patterns, dictionary, rules."""
+    return steps_sql(source, [_NOISE, _JOIN, _DIGITS, _typo_sql("{t}"), *[sql for _, sql in _CHAIN]], first, prefix)
+
+
+@query(
+    "rule_catalogue",
+    "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{name}')" for i, (name, _) in enumerate(_CHAIN)) + ") AS v(position, rule_id)",
+)
 def rule_catalogue(spark, sf_dir):
-    return rules.catalogue(spark)
+    return rules.catalogue(spark).select("position", "rule_id")
+
 
+_NOISY = [(" the ", " 경\n우\n"), (" and ", " · "), (". ", ".\n • \n(L\nL e\nMm) "), ("é", "é"), (", ", ": | 모델 ")]
+_NORMALISED, _LAST, _TEXT = steps_sql("base", [sql for _, sql in _CHAIN])
 
-@query("normalised_documents")
+
+@query(
+    "normalised_documents",
+    f"""
+    WITH base AS (SELECT doc_id, {noted_sql(*_NOISY)} AS c0 FROM documents),
+    {_NORMALISED},
+    done AS (SELECT doc_id, NOT regexp_matches(c0, '\\S') AS blank, c0, {_STRIP.replace("{t}", _TEXT)} AS t, {flags_sql("c0", _TEXT)} AS flags,
+      list_filter([{", ".join(f"CASE WHEN c{i} <> c{i + 1} THEN '{name}' || substr(c{i}, 1, 200) || substr(c{i + 1}, 1, 200) END" for i, (name, _) in enumerate(_CHAIN))}], lambda x: x IS NOT NULL) AS log FROM {_LAST})
+    SELECT doc_id, md5(CASE WHEN blank THEN c0 ELSE t END) AS digest, CASE WHEN blank THEN 0 ELSE len(flags) END::INTEGER AS n_flags, md5(CASE WHEN blank THEN '' ELSE array_to_string(flags, chr(10)) END) AS flags,
+           CASE WHEN blank THEN 0 ELSE len(log) END::INTEGER AS n_log, md5(CASE WHEN blank THEN '' ELSE array_to_string(log, chr(10)) END) AS log
+    FROM done
+    """,
+)
 def normalised_documents(spark, sf_dir):
-    column = noted((" the ", " 경\n우 "), (" and ", " · "))
-    return rules.normalise(documents(spark, sf_dir).select("doc_id", column.alias("text")), log=True).drop("text")
+    out = rules.normalise(documents(spark, sf_dir).select("doc_id", noted(*_NOISY).alias("text")), log=True)
+    log = F.transform("normalised_log", lambda e: F.concat(e["rule_id"], e["before"], e["after"]))
+    return out.select(
+        "doc_id",
+        F.md5("normalised").alias("digest"),
+        F.size("normalised_flags").alias("n_flags"),
+        F.md5(F.array_join("normalised_flags", "\n")).alias("flags"),
+        F.size("normalised_log").alias("n_log"),
+        F.md5(F.array_join(log, "\n")).alias("log"),
+    )
+
 
+_WRONG = [(" the ", " 표순만\n스\n스로 "), (". ", ".\n=—=\n7. 5O5 (Lem) 규청  과 "), (" and ", " Token'Sㅁ' ")]
+_REPAIRED, _LAST_R, _TEXT_R = repair_sql("base")
 
-@query("corrected_documents")
+
+@query(
+    "corrected_documents",
+    f"""
+    WITH base AS (SELECT doc_id, {noted_sql(*_WRONG)} AS c0 FROM documents),
+    {_REPAIRED},
+    done AS (SELECT doc_id, NOT regexp_matches(c0, '\\S') AS blank, c0, {_STRIP.replace("{t}", _TEXT_R)} AS t, {flags_sql("r4", _TEXT_R)} AS flags,
+      list_transform(list_filter(string_split(r4, chr(10)), lambda s: regexp_matches(s, 'stupid|trash')), lambda s: CASE WHEN length(s) > 80 THEN substr(s, 1, 80) || '...' ELSE s END) AS hits FROM {_LAST_R})
+    SELECT doc_id, md5(CASE WHEN blank THEN c0 ELSE t END) AS digest, CASE WHEN blank THEN 0 ELSE len(hits) END::INTEGER AS n_prohibited, md5(CASE WHEN blank THEN '' ELSE array_to_string(hits, chr(10)) END) AS prohibited,
+           md5(CASE WHEN blank THEN '' ELSE array_to_string(flags, chr(10)) END) AS flags
+    FROM done
+    """,
+)
 def corrected_documents(spark, sf_dir):
-    column = noted((" the ", " 표순만\n스\n스로 "), (". ", ".\n=—=\n"))
-    return rules.correct(documents(spark, sf_dir).select("doc_id", column.alias("text")), prohibited=("stupid|trash",)).drop("text")
+    out = rules.correct(documents(spark, sf_dir).select("doc_id", noted(*_WRONG).alias("text")), prohibited=("stupid|trash",))
+    hits = F.size("corrected_prohibited").alias("n_prohibited"), F.md5(F.array_join("corrected_prohibited", "\n")).alias("prohibited")
+    return out.select("doc_id", F.md5("corrected").alias("digest"), *hits, F.md5(F.array_join("corrected_flags", "\n")).alias("flags"))
 
 
 @query(
@@ -293,10 +367,45 @@ _FIX = "CASE {x} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in fixed.TOKEN_A
 )
 def english_readings(spark, sf_dir):
     column = noted(("o", "0"), ("i", "|"))
-    found = documents(spark, sf_dir).select(F.explode(chars.words(column)).alias("word")).distinct()
+    found = documents(spark, sf_dir).select(F.explode(F.array_distinct(chars.words(column))).alias("word")).distinct()
     return found.select("word", english.repaired("word").alias("repaired"), english.classified("word").alias("accepted"))
 
 
+_READ = "replace(w, 'o|n', 'on')"
+
+
+@query(
+    "two_stage_text",
+    r"""
+    WITH t AS (SELECT item_id, string_split_regex(x, '\s+') AS tok, regexp_extract_all(x, '\s+') AS sep
+        FROM (SELECT item_id, regexp_replace(replace(text, 'on', 'o|n'), '^\s+|\s+$', '', 'g') AS x FROM benchmark)),
+    w AS (SELECT item_id, i, tok[i] AS w FROM (SELECT item_id, tok, unnest(range(1, len(tok) + 1)) AS i FROM t)),
+    c AS (SELECT item_id, i, w, """
+    + _READ
+    + r""" AS x FROM w WHERE regexp_matches(w, '[0-9|\\/\[\]()+\-!<>]') AND NOT regexp_full_match(w, '[|\\/\[\]()+\-!<>.,;:]+')),
+    s AS (SELECT *, """
+    + _SIMILAR.format("x")
+    + """ AS y FROM c),
+    r AS (SELECT *, """
+    + _FIX.format(x="x", y="(" + _FIX.format(x="y", y="y") + ")")
+    + r""" AS n FROM s),
+    g AS (SELECT item_id, i, n, row_number() OVER (PARTITION BY item_id ORDER BY i) AS k FROM r
+        WHERE length(n) >= 2 AND NOT regexp_full_match(n, '[0-9]+') AND length(regexp_replace(n, '[^\p{L}]', '', 'g')) / length(n) >= 0.5
+          AND NOT (length(n) <= 3 AND regexp_matches(n, '[0-9!@#$%^&*]')) AND length(regexp_replace(n, '[^a-zA-Z0-9]', '', 'g')) / length(n) >= 0.5 AND regexp_matches(n, '[a-zA-Z]')),
+    p AS (SELECT w.item_id, string_agg(coalesce(g.n, w.w) || coalesce(t.sep[w.i], ''), '' ORDER BY w.i) AS read_text
+        FROM w JOIN t USING (item_id) LEFT JOIN g ON g.item_id = w.item_id AND g.i = w.i AND g.k <= 20 GROUP BY w.item_id)
+    SELECT p.item_id, (SELECT count(*) FROM c WHERE c.item_id = p.item_id)::INTEGER AS n_candidates, read_text FROM p
+    """,
+)
+def two_stage_text(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.replace("text", F.lit("on"), F.lit("o|n")).alias("text"))
+    fields = lambda w, i: F.concat_ws("\t", *[F.lit(x) for x in ("5", "1", "1")], i.cast("string"), *[F.lit(x) for x in ("0", "0", "10", "10", "40", "12", "90")], w)
+    tsv = F.concat_ws("\n", F.lit("header"), F.array_join(F.transform(chars.words("text"), fields), "\n"))
+    made = words.candidates(items.withColumn("tsv", tsv).withColumn("base_text", F.col("text")))
+    made = made.withColumn("first_readings", F.transform("candidates", lambda w: F.replace(w["text"], F.lit("o|n"), F.lit("on")))).withColumn("second_readings", F.lit(None).cast("array<string>"))
+    return words.two_stage(made, out="read_text").select("item_id", F.size("candidates").alias("n_candidates"), "read_text")
+
+
 @query(
     "domain_containment",
     "SELECT item_id, "
@@ -354,16 +463,6 @@ def two_pass_text(spark, sf_dir):
     return words.two_pass(made, out="read_text").select("item_id", "read_text")
 
 
-@query("two_stage_text")
-def two_stage_text(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.replace("text", F.lit("the"), F.lit("t|e")).alias("text"))
-    fields = lambda w, i: F.concat_ws("\t", *[F.lit(x) for x in ("5", "1", "1")], i.cast("string"), *[F.lit(x) for x in ("0", "0", "10", "10", "40", "12", "90")], w)
-    tsv = F.concat_ws("\n", F.lit("header"), F.array_join(F.transform(chars.words("text"), fields), "\n"))
-    made = words.candidates(items.withColumn("tsv", tsv).withColumn("base_text", F.col("text")))
-    made = made.withColumn("first_readings", F.transform("candidates", lambda w: F.replace(w["text"], F.lit("t|e"), F.lit("the")))).withColumn("second_readings", F.lit(None).cast("array<string>"))
-    return words.two_stage(made, out="read_text").select("item_id", F.size("candidates").alias("n_candidates"), "read_text")
-
-
 _BOX = """
     SELECT l_orderkey, l_linenumber, x AS "left", y AS top, least(greatest(4, CAST(trunc((w + 16) / 1.5) AS INTEGER)), 2480 - x) AS width,
            least(greatest(4, CAST(trunc((h + 16) / 1.5) AS INTEGER)), 3508 - y) AS height
@@ -412,19 +511,53 @@ def hangul_blocks(spark, sf_dir):
 # Alignment.
 
 
+# Edits stand at least two characters apart, so that no other script is as cheap.
+_EDITS = [("whes", "wh7es"), ("tion", "tio"), ("sh ", "sh7 "), ("가나다", "가다다"), ("어휘", "어휘x휘")]
+_TRUTH = [(". ", ". 가나다 둘어휘 ")]
+
+
 @query(
     "recognition_rates",
-    """
-    SELECT item_id, n - e AS correct, e AS wrong, n AS gt_count, CASE WHEN n > 0 THEN round_even((n - e) / n * 100, 1) END AS accuracy
-    FROM (SELECT item_id, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS n, length(text) - length(replace(text, 'e', '')) AS e FROM benchmark)
+    f"""
+    WITH t AS (SELECT item_id, {noted_sql(*_TRUTH)} AS truth FROM benchmark),
+    c AS (SELECT item_id, length(regexp_replace(truth, '[^a-zA-Z]', '', 'g')) AS letters, length(regexp_replace(truth, '[^0-9]', '', 'g')) AS digits, length(regexp_replace(truth, '[^가-힣]', '', 'g')) AS hangul,
+      length(truth) - length(replace(truth, 'whes', '123')) AS a, length(truth) - length(replace(truth, 'tion', '123')) AS d, length(truth) - length(replace(truth, 'sh ', '12')) AS o,
+      length(truth) - length(replace(truth, '가나다', '12')) AS k FROM t)
+    SELECT item_id, letters - d AS correct, a + d AS wrong, letters + a AS gt_count, CASE WHEN letters + a > 0 THEN round_even((letters - d) / (letters + a) * 100, 1) END AS accuracy,
+      digits AS digit_correct, o AS digit_wrong, hangul - k AS korean_correct, k * 3 AS korean_wrong, hangul + 2 * k AS korean_count
+    FROM c
     """,
 )
 def recognition_rates(spark, sf_dir):
-    pairs = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("truth"), F.replace("text", F.lit("e"), F.lit("")).alias("extracted"))
-    return align.recognition_rates(pairs, "item_id").select("item_id", "english.correct", "english.wrong", "english.gt_count", "english.accuracy")
+    """Inserted, lost and wrong characters in English, digits and Hangul: an inserted one counts for the class beside it."""
+    truth = noted(*_TRUTH)
+    read = truth
+    for old, new in _EDITS:
+        read = F.replace(read, F.lit(old), F.lit(new))
+    pairs = table(spark, sf_dir, "benchmark").select("item_id", truth.alias("truth"), read.alias("extracted"))
+    found = align.recognition_rates(pairs, "item_id").select("item_id", "english.*", "digit", "korean")
+    return found.select("item_id", "correct", "wrong", "gt_count", "accuracy", F.col("digit.correct").alias("digit_correct"), F.col("digit.wrong").alias("digit_wrong"), F.col("korean.correct").alias("korean_correct"), F.col("korean.wrong").alias("korean_wrong"), F.col("korean.gt_count").alias("korean_count"))
+
+
+_MARKED = '<span class="diff-col"><span class="diff-original-line">h</span><span class="diff-extracted-line diff-wrong">b</span></span>'
+
 
+def _report_sql(label, count, wrong):
+    told = f"'{label}: ' || round_even(({count} - {wrong}) / {count} * 100, 1) || '% (맞음 ' || ({count} - {wrong}) || '자 / 틀림 ' || {wrong} || '자 / 원본 ' || {count} || '자)'"
+    return f"CASE WHEN {count} > 0 THEN {told} ELSE '{label}: 원본에 {label} 없음 (N/A)' END"
 
-@query("page_comparison")
+
+@query(
+    "page_comparison",
+    f"""
+    WITH i AS (SELECT CAST(item_id // 4 AS BIGINT) AS doc_id, CAST(item_id % 4 + 1 AS INTEGER) AS page, text, length(text) - length(replace(text, 'th', 't')) AS w,
+      length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS e, length(regexp_replace(text, '[^0-9]', '', 'g')) AS d FROM benchmark)
+    SELECT doc_id, page, CASE WHEN e > 0 THEN round_even((e - w) / e * 100, 1) END AS accuracy,
+      '한글: 원본에 한글 없음 (N/A)' || chr(10) || {_report_sql("영어", "e", "w")} || chr(10) || {_report_sql("숫자", "d", "0")} || chr(10) || '한자: 원본에 한자 없음 (N/A)' AS report,
+      replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), 'th', 't{_MARKED}') AS html, CAST(NULL AS VARCHAR) AS error
+    FROM i
+    """,
+)
 def page_comparison(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").withColumn("doc_id", F.floor(F.col("item_id") / 4)).withColumn("page", (F.col("item_id") % 4 + 1).cast("int"))
     truths = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("t")).select("doc_id", F.array_join(F.transform("t", lambda p: p["text"]), "\n\n").alias("truth"))
@@ -463,10 +596,27 @@ def document_texts(spark, sf_dir):
     return pages.documents(rows, "source").select("source", "total", F.md5("text").alias("digest"), F.md5(F.array_join("methods", ",")).alias("methods"))
 
 
-@query("page_events")
+_CONVERSED, _LAST_E, _TEXT_E = repair_sql("base")
+
+
+@query(
+    "page_events",
+    f"""
+    WITH base AS (SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, text, text || '\n=—=\n표순만 (Lem) P|I' AS c0, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) >= 10 AS direct,
+      turn % 5 = 3 AS bad FROM conversations),
+    {_CONVERSED},
+    e AS (SELECT doc_id, page, CASE WHEN bad THEN 'error' WHEN direct THEN 'direct' ELSE 'ocr' END AS method, CASE WHEN bad THEN '' WHEN direct THEN {_STRIP.replace("{t}", "text")} ELSE {_STRIP.replace("{t}", _TEXT_E)} END AS t,
+      CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page) AS INTEGER) AS i FROM {_LAST_E})
+    SELECT doc_id, 0 AS seq, CAST(json_object('page', 0, 'total', total, 'method', 'started', 'dpi', 300, 'psm', 6) AS VARCHAR) AS event FROM e WHERE i = 1
+    UNION ALL SELECT doc_id, 2 * i - 1, CAST(json_object('page', page, 'total', total, 'method', 'started') AS VARCHAR) FROM e
+    UNION ALL SELECT doc_id, 2 * i, CAST(CASE WHEN method = 'error' THEN json_object('page', page, 'total', total, 'method', method, 'error', 'cannot render', 'text', '')
+      ELSE json_object('page', page, 'total', total, 'method', method, 'dpi', CASE WHEN method = 'ocr' THEN 300 END, 'text', t) END AS VARCHAR) FROM e
+    UNION ALL SELECT doc_id, 2 * max(total) + 1, CAST(json_object('done', true, 'total', max(total), 'text', string_agg(t, chr(10) || chr(10) ORDER BY page), 'methods', list('p' || page || ':' || method ORDER BY page)) AS VARCHAR) FROM e GROUP BY doc_id
+    """,
+)
 def page_events(spark, sf_dir):
-    items = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), "text", F.lit(None).cast("string").alias("error"))
-    read = pages.extracted(items.withColumnRenamed("text", "layer_text").withColumn("force_ocr", F.lit(None).cast("string")), recognised=lambda p: p.withColumn("text", F.upper("layer_text")))
+    items = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), F.col("text").alias("layer_text"), F.when(F.col("turn") % 5 == 3, "cannot render").alias("error"))
+    read = pages.extracted(items.withColumn("force_ocr", F.lit(None).cast("string")), recognised=lambda p: p.withColumn("text", F.concat("layer_text", F.lit("\n=—=\n표순만 (Lem) P|I"))))
     return pages.events(read)
 
 

@@ -42,14 +42,30 @@ def fitz_pages(content, dpi=fixed.DPI, render=True):
 
 
 def pages_of(files: DataFrame, opener=fitz_pages) -> DataFrame:
-    """One row for each page of the accepted files. ``opener(content)`` yields pages as fitz_pages does."""
+    """One row for each page of the accepted files. ``opener(content)`` yields pages as fitz_pages does.
+
+    A file that cannot be opened, or breaks off, has one row more: the next page, with the error. A missing library still fails the job.
+    """
     kind = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("channels", pa.int32()), ("data", pa.binary())])
     schema = pa.schema([("path", pa.string()), ("page", pa.int32()), ("total", pa.int32()), ("layer_text", pa.string()), ("error", pa.string()), ("image", kind)])
 
+    def opened(content):
+        at = last = 0
+        try:
+            for row in opener(content):
+                at, last = row[0], row[1]
+                yield row
+        except (RuntimeError, ImportError) as e:
+            if isinstance(e, ImportError) or isinstance(e.__cause__, ImportError):
+                raise
+            yield at + 1, max(last, at + 1), None, None, str(e)
+        except Exception as e:  # one bad file must not lose the others
+            yield at + 1, max(last, at + 1), None, None, str(e)
+
     def run(batches):
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for page, total, text, pixels, error in opener(content):
+                for page, total, text, pixels, error in opened(content):
                     image = None
                     if pixels is not None:
                         image = {"height": pixels.shape[0], "width": pixels.shape[1], "channels": 1 if pixels.ndim == 2 else pixels.shape[2], "data": pixels.tobytes()}

@@ -2,12 +2,14 @@
 
 State is kept for each document: texts and methods by page. The last event for
 a page wins, in whatever order they come. A document is emitted when all its
-pages are there or its done event has come; one that never completes is
+pages are there or its done event has come, whose text, parted at blank lines,
+fills the pages that had no event of their own; one that never completes is
 emitted, as far as it got, after ``patience`` of processing time. That timeout
 is an addition: without it an abandoned document would hold state for ever.
 """
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,6 +38,11 @@ def merged(state, rows):
         page = int(page) if page is not None and page == page else 0
         if e.get("done"):
             done = True
+            # Pages without an event take their part of the whole text by place, or none.
+            parts = re.split(r"\n\n+", e.get("text") or "")
+            for p in range(1, max(total, 1) + 1):
+                if pages.get(p, ["", None])[1] is None:
+                    pages[p] = ["", parts[p - 1] if p <= len(parts) else ""]
         elif page > 0 and e.get("method") == "started":
             pages.setdefault(page, ["started", None])
         elif page > 0:
@@ -53,7 +60,7 @@ def shown(total, pages):
         "received": len(got),
         "complete": total > 0 and len(got) >= total,
         "text": "\n\n".join(got[p][1] if p in got else "" for p in numbers),
-        "methods": [f"p{p}:{got[p][0]}" for p in sorted(got)],
+        "methods": [f"p{p}:{got[p][0]}" for p in sorted(got) if got[p][0]],
         "status": [kind(p) for p in numbers],
     }
 

@@ -212,6 +212,38 @@ def test_uploads_and_pages(spark, tmp_path):
         uploads.pages_of(files).collect()
 
 
+def test_a_bad_file_keeps_the_others(spark):
+    def opener(content):
+        if content == b"broken":
+            raise ValueError("no PDF")
+        yield 1, 3, "text", None, None
+        if content == b"cut":
+            raise OSError("ends here")
+        yield 2, 3, "more", None, None
+
+    files = spark.createDataFrame([("a.pdf", b"broken"), ("b.pdf", b"cut"), ("c.pdf", b"fine")], "path string, content binary").withColumn("reject", F.lit(None).cast("string"))
+    got = {(r.path, r.page): (r.total, r.layer_text, r.error) for r in uploads.pages_of(files, opener).collect()}
+    assert got == {("a.pdf", 1): (1, None, "no PDF"), ("b.pdf", 1): (3, "text", None), ("b.pdf", 2): (3, None, "ends here"), ("c.pdf", 1): (3, "text", None), ("c.pdf", 2): (3, "more", None)}
+
+
+def test_done_fills_pages_without_an_event():
+    rows = [{"page": 2, "total": 4, "method": "ocr", "text": "two"}, {"page": 3, "total": 4, "method": "started"}, {"done": True, "total": 4, "text": "a\n\nb\n\n\nc", "methods": []}]
+    (total, found), done = fold.merged((0, {}), rows)
+    row = fold.shown(total, found)
+    assert done and row["complete"] and row["text"] == "a\n\ntwo\n\nc\n\n"
+    assert row["methods"] == ["p2:ocr"] and row["status"] == ["done"] * 4
+
+
+def test_tally_places_inserted_characters():
+    script = lambda *o: [(k, a, b) for k, a, b in o]
+    assert align.tally(script(("i", "", "7"), ("m", "a", "a")))["english"] == [2, 1, 1]
+    assert align.tally(script(("m", "가", "가"), ("i", "", "x")))["korean"] == [2, 1, 1]
+    assert align.tally(script(("m", "a", "a"), ("i", "", "x"), ("m", " ", " ")))["english"] == [2, 1, 1]
+    assert align.tally(script(("i", "", "."), ("m", "a", "a")))["english"] == [1, 1, 0]
+    assert align.tally(script(("i", "", "1"),))["digit"] == [1, 0, 1]
+    assert align.tally([]) == {c: [0, 0, 0] for c in align.CLASSES}
+
+
 def test_events_round_trip(spark, tmp_path):
     rows = [(1, 1, "a\n\nb", "direct", None, None), (1, 2, "", "error", None, "bad"), (2, 1, "é", "ocr", 300, None)]
     df = spark.createDataFrame(rows, "doc_id long, page int, text string, method string, dpi int, error string")
@@ -242,7 +274,8 @@ def test_stream_fold(spark, tmp_path):
         q.stop()
     got = {r.doc_id: r for r in spark.table("folded").collect()}
     assert got[1].complete and got[1].text == "a\n\nb\n\nnew" and got[1].methods == ["p1:direct", "p2:ocr"] and got[1].status == ["done-direct", "done"]
-    assert not got[3].complete and got[3].status == ["error", "waiting"] and got[3].received == 1
+    # The done event's text has one part, so the page without an event is empty but there.
+    assert got[3].complete and got[3].status == ["error", "done"] and got[3].received == 2 and got[3].methods == ["p1:error"]
     assert not got[2].complete and got[2].status == ["working", "waiting", "waiting"]
 
 

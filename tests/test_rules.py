@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import unicodedata
 
 import pytest
@@ -27,7 +28,7 @@ CASES = [
     ("가·나·다", "가 나 다"),
     ("()", "()"),
     ("((a b) c)", "((ab) c)"),
-    ("각 x y", "각 x y"),
+    ("각 x y", "각 xy"),
 ]
 
 
@@ -191,3 +192,13 @@ def test_config_tables(spark, tmp_path):
     (tmp_path / "bad.txt").write_text("^a+$\n(\n# x\nb\n", encoding="utf-8")
     assert config.prohibited_patterns(spark, str(tmp_path / "bad.txt")) == ("^a+$", "b")
     assert rules.by_length(fixed.TYPOS)[0] == ("Self-ReflectiveReliability", "Self-Reflective Reliability")
+
+
+def test_long_white_space_is_looked_at_once(spark):
+    n = 400_000
+    values = ["a" + " " * n + "b", " " * n, "x" + "\n" * n + ".", "x" + "\n" * n + "y", " \n" * n + "z"]
+    began = time.time()
+    df = texts(spark, values).select("i", chars.strip("text").alias("s"), rules.english_breaks("text").alias("b")).select("i", F.length("s").alias("s"), F.length("b").alias("b"))
+    got = {r.i: (r.s, r.b) for r in df.collect()}
+    assert got == {0: (n + 2, n + 2), 1: (0, n), 2: (n + 2, n + 2), 3: (n + 2, 2), 4: (1, 2 * n + 1)}
+    assert time.time() - began < 30
