@@ -18,7 +18,12 @@ SHINGLE = 5
 
 
 def language(spark, docs, sf_dir):
-    """Keep documents of a language that was learned; a null text or one without a letter has none."""
+    """Keep documents of a language that was learned.
+
+    A text that is null, empty or without a letter has none and goes, as does one
+    that no learned language explains; if no row has a lang, nothing is learned
+    and all go. Repeated rows are judged alike; all columns stay.
+    """
     common.small_batches(spark)
     names = docs.columns
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -61,17 +66,22 @@ def near_duplicates(spark, docs, sf_dir):
 
 
 def repeated_passages(spark, docs, sf_dir):
-    """Take out every passage that an earlier document holds."""
+    """Take out every passage that an earlier document holds.
+
+    Earlier is the smaller doc_id; rows of one doc_id are not held against each
+    other. A document left without a word goes, null and empty texts and rows
+    without a doc_id stay as they are; n_chars is counted anew, all other columns stay.
+    """
     return passages.without_repeats(docs)
 
 
 def redact_secrets(spark, docs, sf_dir):
-    """Replace every secret."""
+    """Replace every secret. Null and empty texts stay as they are; repeated rows are treated alike; n_chars is counted anew."""
     return secrets.redact(docs)
 
 
 def pack(spark, docs, sf_dir):
-    """Pack the documents into sequences."""
+    """Pack the documents into sequences: a row for each piece; a text without a word has one with size 0 and no bin."""
     return packing.best_fit(docs)
 
 
