@@ -13,8 +13,13 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_secrets": secrets.op9_secrets,
     "op10_quality_rules": rules.op10_quality_rules,
+    "secrets_base": secrets.secrets_base,
+    "quality_rules_base": rules.quality_rules_base,
 }
 
 ORACLES = {
     "op1_top_k": topk.ORACLE,
+    "op7_near_duplicates": neardup.ORACLE,
+    "secrets_base": secrets.BASE_ORACLE,
+    "quality_rules_base": rules.BASE_ORACLE,
 }
