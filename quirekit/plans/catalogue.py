@@ -94,16 +94,19 @@ def page_routing(spark, sf_dir):
     return out.select("doc_id", "use_ocr", "method", F.when(F.col("use_ocr"), fixed.DPI).alias("dpi"))
 
 
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')"
+
+
 @query(
     "english_suspects",
-    r"""
-    SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE regexp_matches(w, '[0-9|\\/\[\]()+\-!<>]')
-           AND NOT regexp_full_match(w, '[|\\/\[\]()+\-!<>.,;:]+')) AS n_suspect
-    FROM (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS w FROM documents) GROUP BY doc_id
+    rf"""
+    SELECT doc_id, len(w)::BIGINT AS n_words, len(list_filter(w, lambda x: regexp_matches(x, '[0-9|\\/\[\]()+\-!<>]')
+           AND NOT regexp_full_match(x, '[|\\/\[\]()+\-!<>.,;:]+')))::BIGINT AS n_suspect
+    FROM (SELECT doc_id, {_WORDS} AS w FROM documents)
     """,
 )
 def english_suspects(spark, sf_dir):
-    out = documents(spark, sf_dir).select("doc_id", chars.words("text").alias("w")).where(F.size("w") > 0)
+    out = documents(spark, sf_dir).select("doc_id", chars.words(F.coalesce("text", F.lit(""))).alias("w"))
     return out.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.filter("w", chars.english_suspect)).cast("long").alias("n_suspect"))
 
 
@@ -120,16 +123,16 @@ def ascii_shares(spark, sf_dir):
 
 @query(
     "valid_english_words",
-    r"""
-    SELECT doc_id, count(*) FILTER (WHERE length(w) >= 2 AND NOT regexp_full_match(w, '[0-9]+')
-             AND length(regexp_replace(w, '[^\p{L}]', '', 'g')) / length(w) >= 0.5
-             AND NOT (length(w) <= 3 AND regexp_matches(w, '[0-9!@#$%^&*]'))) AS n_valid,
-           count(*) FILTER (WHERE length(regexp_replace(w, '[^\p{L}\p{N}]', '', 'g')) / length(w) >= 0.6) AS n_gate
-    FROM (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS w FROM documents) GROUP BY doc_id
+    rf"""
+    SELECT doc_id, len(list_filter(w, lambda x: length(x) >= 2 AND NOT regexp_full_match(x, '[0-9]+')
+             AND length(regexp_replace(x, '[^\p{{L}}]', '', 'g')) / length(x) >= 0.5
+             AND NOT (length(x) <= 3 AND regexp_matches(x, '[0-9!@#$%^&*]'))))::BIGINT AS n_valid,
+           len(list_filter(w, lambda x: length(regexp_replace(x, '[^\p{{L}}\p{{N}}]', '', 'g')) / length(x) >= 0.6))::BIGINT AS n_gate
+    FROM (SELECT doc_id, {_WORDS} AS w FROM documents)
     """,
 )
 def valid_english_words(spark, sf_dir):
-    out = documents(spark, sf_dir).select("doc_id", chars.words("text").alias("w")).where(F.size("w") > 0)
+    out = documents(spark, sf_dir).select("doc_id", chars.words(F.coalesce("text", F.lit(""))).alias("w"))
     return out.select("doc_id", F.size(F.filter("w", english.valid)).cast("long").alias("n_valid"), F.size(F.filter("w", lambda w: chars.alnum_gate(w))).cast("long").alias("n_gate"))
 
 
@@ -408,12 +411,12 @@ def two_stage_text(spark, sf_dir):
 
 @query(
     "domain_containment",
-    "SELECT item_id, "
+    "SELECT doc_id, "
     + " OR ".join(f"contains(lower(text), '{w.lower()}') OR contains('{w.lower()}', lower(text))" for w in fixed.DOMAIN_WORDS)
-    + " AS in_domain FROM benchmark",
+    + " AS in_domain FROM documents",
 )
 def domain_containment(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", english.in_domain("text").alias("in_domain"))
+    return documents(spark, sf_dir).select("doc_id", english.in_domain("text").alias("in_domain"))
 
 
 # Word tables.
@@ -584,16 +587,18 @@ def truth_parts(spark, sf_dir):
 @query(
     "document_texts",
     """
-    SELECT source, CAST(count(*) AS INTEGER) AS total, md5(string_agg(trim(text), chr(10) || chr(10) ORDER BY page)) AS digest, md5(string_agg('p' || page || ':direct', ',' ORDER BY page)) AS methods
-    FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page FROM documents) GROUP BY source
+    SELECT book, CAST(count(*) AS INTEGER) AS total, md5(string_agg(trim(text), chr(10) || chr(10) ORDER BY page)) AS digest, md5(string_agg('p' || page || ':direct', ',' ORDER BY page)) AS methods
+    FROM (SELECT doc_id // 50 AS book, text, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS page FROM documents) GROUP BY book
     """,
 )
 def document_texts(spark, sf_dir):
+    """Fifty neighbouring ids stand for the pages of one document, so that a document stays bounded."""
     from pyspark.sql import Window
 
-    rows = documents(spark, sf_dir).withColumn("page", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    rows = rows.select("source", "page", F.trim("text").alias("text"), F.lit("direct").alias("method"))
-    return pages.documents(rows, "source").select("source", "total", F.md5("text").alias("digest"), F.md5(F.array_join("methods", ",")).alias("methods"))
+    rows = documents(spark, sf_dir).withColumn("book", F.floor(F.col("doc_id") / 50))
+    rows = rows.withColumn("page", F.row_number().over(Window.partitionBy("book").orderBy("doc_id")))
+    rows = rows.select("book", "page", F.trim("text").alias("text"), F.lit("direct").alias("method"))
+    return pages.documents(rows, "book").select("book", "total", F.md5("text").alias("digest"), F.md5(F.array_join("methods", ",")).alias("methods"))
 
 
 _CONVERSED, _LAST_E, _TEXT_E = repair_sql("base")
@@ -636,7 +641,9 @@ def progress_figures(spark, sf_dir):
 @query("prepared_images")
 def prepared_images(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x * 400 + 128)))).alias("v"))
-    pixels = F.unhex(F.array_join(F.transform("v", lambda x: F.lpad(F.hex(x), 2, "0")), ""))
-    image = F.struct(F.lit(8).alias("height"), F.floor(F.size("v") / 8).cast("int").alias("width"), F.lit(1).alias("channels"), pixels.alias("data"))
-    made = images.prepare(vectors.where("size(v) >= 8 AND size(v) % 8 = 0").select("vec_id", image.alias("image")))
+    # Rows of eight; what a vector lacks to a whole column is black.
+    columns = F.ceil(F.size("v") / 8).cast("int")
+    pixels = F.unhex(F.rpad(F.array_join(F.transform("v", lambda x: F.lpad(F.hex(x), 2, "0")), ""), columns * 16, F.lit("0")))
+    image = F.struct(F.lit(8).alias("height"), columns.alias("width"), F.lit(1).alias("channels"), pixels.alias("data"))
+    made = images.prepare(vectors.where("size(v) > 0").select("vec_id", image.alias("image")))
     return made.select("vec_id", "image.height", "image.width", F.md5("image.data").alias("digest"))
