@@ -87,7 +87,7 @@ def bound(n, total):
 
 #: A key with more than one in so many rows of a table is dealt over several places.
 HOT_SHARE = 4096
-HOT_LEAST = 256
+HOT_LEAST = 64
 
 
 def salted_join(rows, items, key, counts=None, how="inner"):
