@@ -150,7 +150,8 @@ def english_tokens(x):
     """Per token: look-alikes where letters and digits prevail; one space between tokens."""
 
     def fix(t):
-        return F.when(chars.alnum_gate(t), F.regexp_replace(F.replace(t, F.lit("·"), F.lit("")), r"(?<=[A-Za-z])\|(?=[A-Za-z])", "I")).otherwise(t)
+        # Most tokens hold neither sign and need no closer look.
+        return F.when(t.rlike("[·|]") & chars.alnum_gate(t), F.regexp_replace(F.replace(t, F.lit("·"), F.lit("")), r"(?<=[A-Za-z])\|(?=[A-Za-z])", "I")).otherwise(t)
 
     return F.array_join(F.transform(F.split(col(x), "\n", -1), lambda s: F.array_join(F.transform(chars.words(s), fix), " ")), "\n")
 
