@@ -101,10 +101,17 @@ class Lookup:
     def find(self, keys):
         """Piece ids of folded letters, -1 where there is none."""
         out = np.full(len(keys), -1, np.int32)
+        left = np.arange(len(keys))
         for n, (table, key) in enumerate(self.slots):
-            slot = self._slot(keys, n)
-            hit = (key[slot] == keys) & (table[slot] >= 0)
-            out[hit] = table[slot][hit]
+            mine = keys[left]
+            slot = self._slot(mine, n)
+            found = table[slot]
+            hit = (found >= 0) & (key[slot] == mine)
+            out[left[hit]] = found[hit]
+            # A piece stands in a later table only if another one has its slot in this one.
+            left = left[(found >= 0) & ~hit]
+            if not len(left):
+                break
         return out
 
 
@@ -156,9 +163,12 @@ def forward(ids, sizes, probs):
     plain = width <= PLAIN
     alpha = np.ones((width + 1, n, langs))
     log = np.zeros((width + 1, n, langs))
+    ends = [(x >= 0).any(axis=0) for x in ids]
     for i in range(width):
         total = np.zeros((n, langs))
         for k in range(min(len(ids), i + 1)):
+            if not ends[k][i]:
+                continue
             piece = ids[k][:, i]
             some = np.flatnonzero(piece >= 0)
             if len(some):
@@ -197,9 +207,12 @@ def expected(lookup, words, counts, probs):
         back[sizes, rows] = 0.0
         weight = counts[part]
         total += float(weight @ last)
+        ends = [(x >= 0).any(axis=0) for x in ids]
         for i in range(width, 0, -1):
             inside = i <= sizes
             for k in range(min(len(ids), i)):
+                if not ends[k][i - 1]:
+                    continue
                 piece = ids[k][:, i - 1]
                 some = np.flatnonzero((piece >= 0) & inside)
                 if len(some):
