@@ -9,10 +9,13 @@ probabilistic automaton a kind. Pass 2 scores all other tokens (``LEAST_LETTERS`
 each automaton against a letter-pair model of other tokens, those with digits
 among them, and adds those that score like held-back credentials do.
 
-The fit sees at most ``MAX_LABELLED`` distinct credentials a kind and
-``MAX_ORDINARY`` other tokens, those of the smallest hashes; base patterns
-and the scoring see everything. Copies of a credential count once, and a bare
-copy of a labelled one is no example of an ordinary token.
+The fit sees every distinct credential and every other token, whatever their
+number and length: prefixes, letter pairs, the frequencies of the merged states
+and the odds of held-back credentials (a quarter, by hash) are counted in Spark.
+Only prefixes of ``LEAST_PREFIX`` credentials or more reach the driver: no test
+tells a state of fewer from another, so they go on at the start state. Copies of
+a credential count once, and a bare copy of a labelled one is no example of an
+ordinary token; for that tasks get 8 bytes for each distinct credential.
 
 Positions are code points of the text, ends exclusive. Defined cases: a null
 text is empty and has no spans; repeated rows give repeated results; without
@@ -26,15 +29,16 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
 from . import common
 
 KINDS = ("assign", "access", "hex")
-MAX_LABELLED = 600
-MAX_ORDINARY = 20_000
-#: Longer credentials are found like all others but not learned from.
-LEARN_LETTERS = 128
+#: Fewer credentials pass every test of likeness at SIGNIFICANCE.
+LEAST_PREFIX = 3
+#: Longer tokens are scored one by one.
+LONG = 128
 MIN_LABELLED = 20
 SIGNIFICANCE = 0.01
 #: A few bare credentials among the other tokens must not teach that model their letters.
@@ -101,7 +105,7 @@ def _scan(batches):
             text = text or ""
             spans = base_spans(text)
             base.append([{"kind": k, "start": a, "end": b, "token": v} for k, a, b, v in spans])
-            plain = {v for _, _, v in other_tokens(text, spans) if len(v) <= LEARN_LETTERS} - seen
+            plain = {v for _, _, v in other_tokens(text, spans)} - seen
             seen |= plain
             ordinary.append(list(plain))
         yield common.record(schema, base, ordinary)
@@ -135,6 +139,40 @@ class Automaton:
         self.bound = math.sqrt(0.5 * math.log(2 / significance))
         self._merge()
 
+    @classmethod
+    def of_prefixes(cls, rows):
+        """From counted prefixes (node, parent, letter class, strings, strings that end there); the root is ROOT, its parent null."""
+        self = cls([])
+        rows = sorted(rows, key=lambda r: (r.parent is not None, r.node))
+        place = {r.node: i for i, r in enumerate(rows)}
+        self.n, self.ends, self.go = [r.n for r in rows], [r.ends for r in rows], [{} for _ in rows]
+        for r in rows:
+            if r.parent is not None:
+                self.go[place[r.parent]][r.cls] = [place[r.node], r.n]
+        self._merge()
+        return self
+
+    def walk(self, classes):
+        """(state, class) of each step and (state, None) of the end; a class without an edge leads to the start state."""
+        at = 0
+        for c in classes:
+            yield at, c
+            at = self.go[at].get(c, (0, 0))[0]
+        yield at, None
+
+    def recount(self, rows):
+        """Frequencies of all strings: rows (state, class or null at an end, count) of walk()."""
+        for q in self.states:
+            self.n[q], self.ends[q] = 0, 0
+            for edge in self.go[q].values():
+                edge[1] = 0
+        for r in rows:
+            self.n[r.state] += r.n
+            if r.cls is None:
+                self.ends[r.state] += r.n
+            else:
+                self.go[r.state].setdefault(r.cls, [0, 0])[1] += r.n
+
     def _unlike(self, f, n, g, m):
         return abs(f / n - g / m) > self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
 
@@ -224,53 +262,79 @@ def laid(tokens):
     return letters, sizes, order
 
 
+def pair_counts(tokens):
+    """How often a letter follows another or a token's start, as a matrix."""
+    flat = np.frombuffer(("\n" + "\n".join(tokens)).encode(), np.uint8).astype(np.int64)
+    a, b = flat[:-1], flat[1:]
+    keep = b != ord("\n")
+    return np.bincount(a[keep] * LETTERS + b[keep], minlength=LETTERS * LETTERS).reshape(LETTERS, LETTERS)
+
+
+def own(keys):
+    """How often each of the keys occurs among them."""
+    _, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return n[at]
+
+
 class Pairs:
     """Letter-pair model of other tokens; what a letter is followed by counts only beside ``DOUBT`` letters at large.
 
     A token it was made from is scored without its own letters, as one that was not.
     """
 
-    def __init__(self, tokens):
-        self.tokens = frozenset(tokens)
-        self.pair, self.one, self.any = Counter(), Counter(), Counter()
-        for t in self.tokens:
-            self.pair.update(map(str.__add__, "\n" + t, t))
-            self.one.update(("\n" + t)[:-1])
-            self.any.update(t)
-        self.total = sum(self.any.values())
+    def __init__(self, tokens, pair=None):
+        """Made from tokens; with counts given, from all tokens but those whose token_hash() is in the sorted array ``tokens``."""
+        self.tokens = np.asarray(tokens) if pair is not None else frozenset(tokens)
+        self.counted = pair is not None
+        self.pair = pair if self.counted else pair_counts(sorted(self.tokens))
+        self.one, self.any, self.total = self.pair.sum(axis=1), self.pair.sum(axis=0), int(self.pair.sum())
+
+    def has(self, tokens):
+        """Which tokens the model was made from."""
+        if not self.counted:
+            return np.fromiter((t in self.tokens for t in tokens), bool, len(tokens))
+        if not len(self.tokens):
+            return np.ones(len(tokens), bool)
+        h = np.fromiter(map(token_hash, tokens), np.int64, len(tokens))
+        return self.tokens[np.minimum(np.searchsorted(self.tokens, h), len(self.tokens) - 1)] != h
+
+    def log_likelihoods(self, tokens):
+        """Natural logarithms of the probabilities of the tokens' letters."""
+        mine = self.has(tokens)
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        flat = np.frombuffer(("\n" + "\n".join(tokens)).encode(), np.uint8).astype(np.int64)
+        a, b = flat[:-1], flat[1:]
+        row, keep = np.cumsum(a == ord("\n")) - 1, b != ord("\n")
+        a, b, row = a[keep], b[keep], row[keep]
+        m = mine[row]
+        total = np.maximum(1, self.total - sizes * mine)[row]
+        at_large = OFTEN * (self.any[b] - own(row * LETTERS + b) * m) / total + AGAIN * (a == b) + (1 - OFTEN - AGAIN) / ALPHABET
+        follow = self.pair[a, b] - own((row * LETTERS + a) * LETTERS + b) * m
+        return np.bincount(row, np.log((follow + DOUBT * at_large) / (self.one[a] - own(row * LETTERS + a) * m + DOUBT)), len(tokens))
 
     def log_likelihood(self, token):
-        pairs = list(map(str.__add__, "\n" + token, token))
-        mine = (Counter(pairs), Counter(("\n" + token)[:-1]), Counter(token)) if token in self.tokens else ({}, {}, {})
-        total = max(1, self.total - sum(mine[2].values()))
-        out = 0.0
-        for ab in pairs:
-            a, b = ab
-            at_large = OFTEN * (self.any[b] - mine[2].get(b, 0)) / total + AGAIN * (a == b) + (1 - OFTEN - AGAIN) / ALPHABET
-            out += math.log((self.pair[ab] - mine[0].get(ab, 0) + DOUBT * at_large) / (self.one[a] - mine[1].get(a, 0) + DOUBT))
-        return out
+        return float(self.log_likelihoods([token])[0])
 
-    def table(self):
-        """log-probability of a letter after a letter, for tokens the model was not made from."""
-        out = np.zeros((LETTERS, LETTERS))
-        for i in range(LETTERS):
-            for j in range(LETTERS):
-                a, b = chr(i), chr(j)
-                at_large = OFTEN * self.any[b] / max(1, self.total) + AGAIN * (a == b) + (1 - OFTEN - AGAIN) / ALPHABET
-                out[i, j] = math.log((self.pair[a + b] + DOUBT * at_large) / (self.one[a] + DOUBT))
-        return out
+
+def token_hash(token):
+    return xxhash.xxh3_64_intdigest(token) - (1 << 63)
+
+
+def classes_of(token):
+    return [CLASS_OF.get(c, c) for c in token]
 
 
 class Model:
     """Automata and thresholds of all kinds, with the model they are held against."""
 
     def __init__(self, credentials, ordinary):
-        self.pairs = Pairs(ordinary)
+        """Made from lists; fit() makes one from tables."""
+        self.pairs = ordinary if isinstance(ordinary, Pairs) else Pairs(ordinary)
         self.kinds, self.fast = {}, None
         for k, tokens in sorted(credentials.items()):
             if len(tokens) >= MIN_LABELLED:
                 held = tokens[::4]
-                auto = Automaton(["".join(CLASS_OF.get(c, c) for c in t) for i, t in enumerate(tokens) if i % 4])
+                auto = Automaton([classes_of(t) for i, t in enumerate(tokens) if i % 4])
                 odds = sorted(self.odds(auto, t) for t in held)
                 self.kinds[k] = auto, max(LEAST_ODDS, odds[int(len(odds) * MISSED)])
 
@@ -287,26 +351,24 @@ class Model:
         return best
 
     def judge_all(self, tokens):
-        """judge() of many tokens, letter by letter for all at once; those the pair model was made from one by one."""
-        out = {t: self.judge(t) for t in tokens if len(t) > LEARN_LETTERS or t in self.pairs.tokens}
-        rest = [t for t in tokens if t not in out]
+        """judge() of many tokens, letter by letter for all at once; long ones one by one."""
         if not self.kinds:
             return dict.fromkeys(tokens)
+        out = {t: self.judge(t) for t in tokens if len(t) > LONG}
+        rest = [t for t in tokens if t not in out]
         if self.fast is None:
-            self.fast = self.pairs.table(), {k: auto.tables() for k, (auto, _) in self.kinds.items()}
-        pairs, automata = self.fast
+            self.fast = {k: auto.tables() for k, (auto, _) in self.kinds.items()}
+        automata = self.fast
         for a in range(0, len(rest), TOGETHER):
             part = rest[a : a + TOGETHER]
             letters, sizes, order = laid(part)
             n = len(part)
-            plain, before = np.zeros(n), np.full(n, ord("\n"), np.uint8)
+            plain = self.pairs.log_likelihoods(part)[order]
             score = {k: np.zeros(n) for k in automata}
             at = {k: np.zeros(n, np.int32) for k in automata}
             for i in range(letters.shape[1]):
                 m = int(np.searchsorted(-sizes, -i))
                 c = letters[:m, i]
-                plain[:m] += pairs[before[:m], c]
-                before[:m] = c
                 for k, (log, then, _) in automata.items():
                     here = at[k][:m]
                     score[k][:m] += log[here, c]
@@ -362,23 +424,88 @@ def _added(model):
     return run
 
 
+ROOT = 0
+
+
+def _prefixes(batches):
+    """(kind, node, parent, class, strings, ends) of every prefix; a node is the hash of its classes."""
+    schema = pa.schema([("kind", pa.int32()), ("node", pa.int64()), ("parent", pa.int64()), ("cls", pa.string()), ("n", pa.int64()), ("ends", pa.int64())])
+    for b in batches:
+        n, ends = Counter(), Counter()
+        for k, token in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("kind", "token")]):
+            edge, at = (k, ROOT, None, None), ROOT
+            n[edge] += 1
+            for c in classes_of(token):
+                to = xxhash.xxh3_64_intdigest(c, seed=at & ((1 << 64) - 1)) - (1 << 63)
+                edge, at = (k, to, at, c), to
+                n[edge] += 1
+            ends[edge] += 1
+        if n:
+            yield common.record(schema, *[list(c) for c in zip(*[(*e, m, ends[e]) for e, m in n.items()])])
+
+
+def _pair_counts(batches):
+    total = np.zeros((LETTERS, LETTERS), np.int64)
+    for b in batches:
+        if b.num_rows:
+            total += pair_counts(b.column(0).to_pylist())
+    a, b = np.nonzero(total)
+    yield common.record(pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())]), a.astype(np.int32), b.astype(np.int32), total[a, b])
+
+
 def fit(scanned):
-    """The model of scanned documents; what is gathered is bounded by the parameters above."""
-    labelled = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.token").where(F.length("token") <= LEARN_LETTERS).distinct()
-    labelled = common.save(labelled, "labelled")
+    """The model of all scanned documents: counts are made in Spark, what reaches the driver is told above."""
+    spark = scanned.sparkSession
+    labelled = common.save(scanned.select(F.explode("base").alias("s")).select("s.kind", "s.token").distinct(), "labelled")
     sizes = {r.kind: r["count"] for r in labelled.groupBy("kind").count().collect()}
-    credentials = {}
-    for k in range(len(KINDS)):
-        rows = common.smallest(labelled.where(F.col("kind") == k), ["token"], MAX_LABELLED, sizes.get(k, 0)).collect()
-        credentials[k] = [r.token for r in rows]
-    tokens = scanned.select(F.explode("ordinary").alias("t"))
-    # The number of distinct tokens is wanted roughly; a third below the estimate is beyond its error.
-    about = tokens.agg(F.approx_count_distinct("t", 0.05).alias("n")).first().n
-    low = tokens.where(F.xxhash64("t") <= F.lit(common.bound(MAX_ORDINARY, about * 2 // 3))).distinct()
-    low = low.join(labelled.select(F.col("token").alias("t")), "t", "left_anti")
-    ordinary = [r.t for r in low.orderBy(F.xxhash64("t"), "t").limit(MAX_ORDINARY).collect()]
-    common.drop(labelled)
-    return Model(credentials, ordinary)
+    tokens = scanned.select(F.explode("ordinary").alias("t")).distinct().join(labelled.select(F.col("token").alias("t")), "t", "left_anti")
+    pair = np.zeros((LETTERS, LETTERS), np.int64)
+    for r in tokens.mapInArrow(_pair_counts, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        pair[r.a, r.b] = r.n
+
+    def hashes(batches):
+        for b in batches:
+            yield common.record(pa.schema([("h", pa.int64())]), [token_hash(t) for t in b.column(0).to_pylist()])
+
+    known = labelled.select("token").mapInArrow(hashes, "h long").distinct().toArrow().column("h").to_numpy()
+    model = Model({}, Pairs(np.sort(known), pair))
+    held = F.pmod(F.xxhash64("token"), F.lit(4)) == 0
+    nodes = labelled.where(~held).mapInArrow(_prefixes, "kind int, node long, parent long, cls string, n long, ends long")
+    nodes = nodes.groupBy("kind", "node", "parent", "cls").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    nodes = nodes.where((F.col("n") >= LEAST_PREFIX) | F.col("parent").isNull()).collect()
+    automata = {k: Automaton.of_prefixes([r for r in nodes if r.kind == k]) for k in range(len(KINDS)) if sizes.get(k, 0) >= MIN_LABELLED and any(r.kind == k for r in nodes)}
+    shared = spark.sparkContext.broadcast(automata)
+
+    def steps(batches):
+        n = Counter()
+        for b in batches:
+            for k, token in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("kind", "token")]):
+                if k in shared.value:
+                    n.update((k, *step) for step in shared.value[k].walk(classes_of(token)))
+        if n:
+            schema = pa.schema([("kind", pa.int32()), ("state", pa.int64()), ("cls", pa.string()), ("n", pa.int64())])
+            yield common.record(schema, *[list(c) for c in zip(*[(*e, m) for e, m in n.items()])])
+
+    counts = labelled.where(~held).mapInArrow(steps, "kind int, state long, cls string, n long")
+    counts = counts.groupBy("kind", "state", "cls").agg(F.sum("n").alias("n")).collect()
+    for k, auto in automata.items():
+        auto.recount([r for r in counts if r.kind == k])
+    model.kinds = {k: (auto, LEAST_ODDS) for k, auto in automata.items()}
+    judges = spark.sparkContext.broadcast(model)
+
+    def odds(batches):
+        for b in batches:
+            rows = [(k, judges.value.odds(judges.value.kinds[k][0], t)) for k, t in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("kind", "token")]) if k in judges.value.kinds]
+            if rows:
+                yield common.record(pa.schema([("kind", pa.int32()), ("odds", pa.float64())]), *[list(c) for c in zip(*rows)])
+
+    scored = common.save(labelled.where(held).mapInArrow(odds, "kind int, odds double"), "odds")
+    for r in scored.groupBy("kind").count().collect():
+        rank = int(r["count"] * MISSED) + 1
+        least = scored.where(F.col("kind") == r.kind).orderBy("odds").limit(rank).agg(F.max("odds")).first()[0]
+        model.kinds[r.kind] = automata[r.kind], max(LEAST_ODDS, least)
+    common.drop(labelled, scored)
+    return model
 
 
 def scan(docs):

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from quirekit.llm import secrets
 
 
@@ -138,3 +140,24 @@ def test_all_at_once_is_one_by_one():
         want = model.judge(t)
         assert (got[t] is None) == (want is None) and (want is None or got[t][0] == want[0] and abs(got[t][1] - want[1]) < 1e-9)
     assert sum(x is not None for x in got.values()) > 20 and secrets.Model({}, []).judge_all(["abcdefgh"]) == {"abcdefgh": None}
+
+
+def test_learns_from_every_credential_and_every_other_token(spark):
+    rng = random.Random(8)
+    pick = lambda letters, n: "".join(rng.choices(letters, k=n))
+    plain = [f"{pick('aeionrst', 9)}{i}" for i in range(21_000)]
+    bare = [pick("0123456789abcdef", rng.choice((24, 25, 200))) for _ in range(900)]
+    texts = [" ".join(plain[i : i + 30]) for i in range(0, len(plain), 30)] + [f"password={t} {plain[i]} {t[:31]}" for i, t in enumerate(bare)]
+    halves = [t[:31] for t in bare if len(t) > 31]
+    scanned = spark.createDataFrame([(t,) for t in texts], "text string").mapInArrow(secrets._scan, secrets.SCANNED)
+    model = secrets.fit(scanned)
+    assert model.pairs.total == sum(map(len, plain + halves))
+    auto, least = model.kinds[0]
+    ends = sum(auto.ends[q] for q in auto.states)
+    hashed = spark.createDataFrame([(t,) for t in bare], "t string").selectExpr("pmod(xxhash64(t), 4) = 0 AS held").where("NOT held").count()
+    assert ends == hashed and sum(e[1] for q in auto.states for e in auto.go[q].values()) + ends == sum(auto.n[q] for q in auto.states)
+    # As a list-made model that leaves a token's own letters out.
+    one = secrets.Pairs(plain + halves)
+    some = plain[:50] + halves[:50] + bare[:50]
+    assert np.allclose(model.pairs.log_likelihoods(some), [one.log_likelihood(t) for t in some])
+    assert list(model.pairs.has(some)) == [t not in bare for t in some]
